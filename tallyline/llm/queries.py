@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from tallyline.llm.decontaminate import op3_template_decontamination
 from tallyline.llm.jaccard_join import op10_ngram_jaccard_join
+from tallyline.llm.piece_codec import op1_piece_codec
+from tallyline.llm.token_counts import op2_token_counts
+
+_QUERIES = [op1_piece_codec, op2_token_counts, op3_template_decontamination, op10_ngram_jaccard_join]
 
 
 def queries() -> dict:
-    return {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

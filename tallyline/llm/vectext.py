@@ -65,6 +65,7 @@ class Words:
     hash: np.ndarray  # uint64 of each word
     doc: np.ndarray  # row of each word, from 0
     count: np.ndarray  # words of each row
+    total: np.ndarray  # prefix sums that any span's hash comes from
 
     @property
     def first(self) -> np.ndarray:
@@ -99,8 +100,8 @@ def _hashed(lo: int, hi: int, data: np.ndarray, doc_start: np.ndarray) -> Words:
     rows = hi - lo
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(lo, hi, data, doc_start, none, none, np.zeros(0, np.uint64), none, np.zeros(rows, np.int64))
-    power, inverse = _grown(n + 1)
+        return Words(lo, hi, data, doc_start, none, none, np.zeros(0, np.uint64), none, np.zeros(rows, np.int64), np.zeros(1, np.uint64))
+    power, _ = _grown(n + 1)
     inside = ~IS_SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[doc_start] = True
@@ -114,10 +115,14 @@ def _hashed(lo: int, hi: int, data: np.ndarray, doc_start: np.ndarray) -> Words:
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_HASH[data] * power[:n], out=total[1:])
-    hashed = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    hashed = span_hash(total, start, end)
     doc = np.searchsorted(doc_start, start, "right") - 1
     # empty rows share an offset with the next row: the right side search already passes them
-    return Words(lo, hi, data, doc_start, start, end, hashed, doc, np.bincount(doc, minlength=rows)[:rows])
+    return Words(lo, hi, data, doc_start, start, end, hashed, doc, np.bincount(doc, minlength=rows)[:rows], total)
+
+
+def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((total[end] - total[start]) * _powers[1][start] + (end - start).astype(np.uint64))
 
 
 _STEP = mix(np.arange(1, 65, dtype=np.uint64) * U(0xD6E8FEB86659FD93)) | U(1)
