@@ -12,9 +12,10 @@ Plan, each step a Spark job over whole tables:
    differs only where the sets differ, so they bound the difference from
    below); what is left is verified on the shingles. Links give components.
 4. Only classes of one bucket that are still in different components are open.
-   In small buckets these pairs are tried directly. Classes of large ones go
-   through a rare-first prefix filter on document frequencies first, which is
-   exact too and separates texts that only share a common passage.
+   In small buckets these pairs are tried directly. A class of which so many
+   signatures are hot that it might meet a partner in large buckets only goes
+   through a rare-first prefix filter on document frequencies, which is exact
+   too and separates texts that only share a common passage.
 
 Hence no pair of a threshold or more is missed and no bucket is expanded to all
 its pairs while one component covers it.
@@ -36,8 +37,8 @@ from tallyline.llm.vectext import U, mix, shingle_sets, words
 
 #: Links need num/den of the union.
 NUM, DEN = 4, 5
-#: Open pairs of buckets up to this size are tried at once; larger ones go through the prefix filter first.
-SMALL_BUCKET = 16
+#: Larger buckets are hot: not all of their open pairs are tried, see ``_scarce``.
+SMALL_BUCKET = 32
 SKETCH_BITS_A_SHINGLE = 2
 
 
@@ -80,8 +81,9 @@ def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, h, d, sizes in _sets(batch, width):
-                sig, row = signatures(h, d, sizes, NUM, DEN, k2=1, n2=2)
-                yield pa.RecordBatch.from_arrays([_long(sig), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32))], ["sig", "doc_id", "n"])
+                sig, row, band, room = signatures(h, d, sizes, NUM, DEN, k2=1, n2=2)
+                code = (sizes[row] << 24) | (np.clip(room, 0, 65535) << 8) | band
+                yield pa.RecordBatch.from_arrays([_long(sig), pa.array(ids[row]), pa.array(code)], ["sig", "doc_id", "code"])
 
     return run
 
@@ -152,16 +154,32 @@ def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), _long(np.concatenate(sets)), pa.array(np.repeat(sizes, sizes).astype(np.int32))], ["doc_id", "feature", "n"])
 
 
-def _open_pairs(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Distinct pairs of one bucket (key) in different components whose sizes allow a link."""
-    left = members.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = members.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return left.join(right, "key").where(f"ca < cb and na * {NUM} <= nb * {DEN} and nb * {NUM} <= na * {DEN}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _open_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs of one bucket (key) in different components whose sizes allow a link.
+
+    Members outside a bucket's largest component meet all others, so a large
+    component costs its size times the rest, never its square.
+    """
+    part = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = part.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
+    mixed = saved(members.join(main, "key"), "mixed")
+    left = mixed.where("component <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "main")
+    right = mixed.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    return left.join(right, "key").where(f"(cb = main or ca < cb) and na * {NUM} <= nb * {DEN} and nb * {NUM} <= na * {DEN}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _scarce(hot: DataFrame) -> DataFrame:
+    """Documents that may share nothing but hot signatures with a partner.
+
+    A document shares at least its ``room`` signatures of a band with a partner
+    of that band. If fewer of them are hot, the two also meet in a small bucket.
+    """
+    return hot.groupBy("doc_id", (F.col("code") % 256).alias("band")).agg(F.count(F.lit(1)).alias("hot"), F.max(F.expr("shiftright(code, 8) & 65535")).alias("room")).where("hot >= room").select("doc_id").distinct()
 
 
 def _tries(buckets: DataFrame, key: str) -> DataFrame:
     """(a, b): each member of a bucket with the one before it and with the first, by size and id."""
-    by = Window.partitionBy(key).orderBy("n", "doc_id")
+    by = Window.partitionBy(key).orderBy("code", "doc_id")
     seen = buckets.withColumns({"before": F.lag("doc_id").over(by), "first": F.first("doc_id").over(by)}).where("before is not null")
     each = seen.select(F.col("doc_id").alias("d"), F.explode(F.array("before", "first")).alias("o"))
     return each.select(F.least("d", "o").alias("a"), F.greatest("d", "o").alias("b")).where("a <> b").distinct()
@@ -188,33 +206,31 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     copies = full.join(few, ["n_shingles", "h1", "h2"]).where("doc_id <> class_id").select("doc_id")
     spare = saved(copies.join(once, "doc_id", "left_semi").distinct(), "spare")
     reps = saved(_narrow(full.select("doc_id", "n_shingles", "sketch"), spare, "left_anti"), "reps")
-    rows = _narrow(docs, spare, "left_anti").mapInArrow(_signed(width), "sig long, doc_id long, n int")
-    per = Window.partitionBy("sig").orderBy("n", "doc_id")
-    shared = saved(rows.withColumns({"p": F.lag("doc_id").over(per), "q": F.lead("doc_id").over(per)}).where("p is not null or q is not null").select(F.col("sig").alias("key"), "n", "doc_id"), "buckets")
+    rows = _narrow(docs, spare, "left_anti").mapInArrow(_signed(width), "sig long, doc_id long, code long")
+    per = Window.partitionBy("sig").orderBy("code", "doc_id")
+    shared = saved(rows.withColumns({"p": F.lag("doc_id").over(per), "q": F.lead("doc_id").over(per)}).where("p is not null or q is not null").select(F.col("sig").alias("key"), "code", "doc_id"), "buckets")
     links = _links(_tries(shared, "key"), reps, docs, width)
     comp = small_or_not(components(links).withColumnRenamed("node", "doc_id"))
-    placed = shared.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
-    mixed = saved(placed.join(counts, "key"), "mixed")
-    few_pairs = _open_pairs(mixed.where(F.col("size") <= SMALL_BUCKET), comp)
-    large = saved(mixed.where(F.col("size") > SMALL_BUCKET).select("doc_id", "component").distinct(), "large")
-    pairs = few_pairs
-    if not large.isEmpty():
-        pairs = pairs.union(_rare_pairs(_narrow(docs, large.select("doc_id"), "left_semi"), large, width))
+    sizes = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL_BUCKET).select("key"), "hot")
+    hot = small_or_not(sizes)
+    placed = lambda df: df.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    pairs = _open_pairs(placed(shared.join(hot, "key", "left_anti").select("key", F.expr("shiftright(code, 24)").alias("n"), "doc_id")))
+    scarce = saved(_scarce(shared.join(hot, "key", "left_semi")), "scarce")
+    if not scarce.isEmpty():
+        pairs = pairs.union(_open_pairs(placed(_rare_prefixes(_narrow(docs, scarce, "left_semi"), width))))
     pairs = saved(pairs.distinct(), "open")
     more = _links(pairs, reps, docs, width)
     return membership, links.union(more), reps
 
 
-def _rare_pairs(docs: DataFrame, placed: DataFrame, width: int) -> DataFrame:
-    """Open pairs by a prefix filter: a link shares one of the ``n - ceil(n * NUM / DEN) + 1`` rarest shingles of both."""
+def _rare_prefixes(docs: DataFrame, width: int) -> DataFrame:
+    """(key, n, doc_id): the ``n - ceil(n * NUM / DEN) + 1`` rarest shingles of each document, of which two that link share one."""
     features = docs.mapInArrow(_features(width), "doc_id long, features binary")
     flat = saved(features.mapInArrow(_rare, "doc_id long, feature long, n int"), "flat")
     often = flat.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by = Window.partitionBy("doc_id").orderBy("df", "feature")
     ranked = flat.join(often, "feature", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", F.row_number().over(by))
-    prefix = ranked.where(f"rank <= n - (n * {NUM} + {DEN - 1}) div {DEN} + 1 and df > 1").select(F.col("feature").alias("key"), "doc_id", "n")
-    return _open_pairs(saved(prefix.join(placed, "doc_id"), "prefix"), placed)
+    return ranked.where(f"rank <= n - (n * {NUM} + {DEN - 1}) div {DEN} + 1 and df > 1").select(F.col("feature").alias("key"), F.col("n").cast("long").alias("n"), "doc_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:

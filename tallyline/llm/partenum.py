@@ -21,6 +21,7 @@ import numpy as np
 from tallyline.llm.vectext import U, mix
 
 RATIO = 1.7
+PREFIX_BAND, NO_LIMIT = 254, 65535
 
 
 @dataclass(frozen=True)
@@ -45,14 +46,19 @@ def bands(num: int, den: int, k2: int, slack: float, upto: int) -> tuple[Band, .
     return tuple(out)
 
 
-def signatures(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, num: int = 4, den: int = 5, k2: int = 0, n2: int = 1, slack: float = 0.15, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) pairs for sets given as hashes sorted by row."""
+def signatures(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, num: int = 4, den: int = 5, k2: int = 0, n2: int = 1, slack: float = 0.15, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, band, room) for sets given as hashes sorted by row.
+
+    A set shares at least ``room`` of its signatures of a band with any partner
+    of that band. Bands count from 0; the prefix filter's tokens are band 254.
+    """
     if not len(hashes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     found = bands(num, den, k2, slack, int(sizes.max()))
     low = np.array([b.low for b in found])
     own = np.searchsorted(low, sizes, "right") - 1
-    out_sig, out_doc, scarce = [], [], np.zeros(len(sizes), bool)
+    out_sig, out_doc, out_band, rooms, scarce = [], [], [], [], np.zeros(len(sizes), bool)
     for step in (0, 1):
         band = own - step
         high = np.array([b.high for b in found])[np.maximum(band, 0)]
@@ -95,6 +101,10 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, num: int
             empty = np.bincount(gof[none], minlength=len(sizes))
         agree = n1 - k // (k2 + 1)  # groups that hold at most k2 differences
         scarce |= takes & (empty >= agree)
+        new = np.concatenate(out_doc)[sum(map(len, out_band)) :]
+        out_band.append(band[new])
+        rooms.append((agree - empty)[new])
+    sig, row, of_band, room = (np.concatenate(x) for x in (out_sig, out_doc, out_band, rooms))
     if scarce.any():
         use = scarce[doc]
         h, d = mix(hashes[use] ^ U(0x2545F4914F6CDD1D)), doc[use]
@@ -103,6 +113,8 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, num: int
         size = np.where(scarce, sizes, 0)
         rank = np.arange(len(h)) - (np.cumsum(size) - size)[d]
         keep = rank < (sizes - (sizes * num + den - 1) // den + 1)[d]
-        out_sig.append(mix(h[keep] + U(0x853C49E6748FEA9B)))
-        out_doc.append(d[keep])
-    return np.concatenate(out_sig), np.concatenate(out_doc)
+        room[scarce[row]] = NO_LIMIT  # the prefix filter speaks for these
+        sig, row = np.concatenate([sig, mix(h[keep] + U(0x853C49E6748FEA9B))]), np.concatenate([row, d[keep]])
+        of_band = np.concatenate([of_band, np.full(keep.sum(), PREFIX_BAND)])
+        room = np.concatenate([room, np.ones(keep.sum(), np.int64)])
+    return sig, row, of_band, np.minimum(room, NO_LIMIT)

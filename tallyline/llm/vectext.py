@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,7 +81,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 
 def words(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Hash the words of a string column, a few megabytes of whole rows at a time."""
+    """Hash the words of a string column, a half megabyte of whole rows at a time."""
     column = texts(column)
     if not len(column):
         return
