@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tallyline.llm.chat_format import OP4_SQL, op4_chat_format
 from tallyline.llm.decontaminate import op3_template_decontamination
+from tallyline.llm.exact_topk import OP6_SQL, op6_exact_topk
 from tallyline.llm.jaccard_join import op10_ngram_jaccard_join
+from tallyline.llm.main_text import op9_main_text
 from tallyline.llm.piece_codec import op1_piece_codec
 from tallyline.llm.token_counts import op2_token_counts
+from tallyline.llm.url_rules import OP5_SQL, op5_url_rules
 
-_QUERIES = [op1_piece_codec, op2_token_counts, op3_template_decontamination, op10_ngram_jaccard_join]
+_QUERIES = [op1_piece_codec, op2_token_counts, op3_template_decontamination, op4_chat_format, op5_url_rules, op6_exact_topk, op9_main_text, op10_ngram_jaccard_join]
 
 
 def queries() -> dict:
@@ -15,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": OP4_SQL, "op5_url_rules": OP5_SQL, "op6_exact_topk": OP6_SQL}
