@@ -81,7 +81,7 @@ def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, h, d, sizes in _sets(batch, width):
-                sig, row, band, room = signatures(h, d, sizes, NUM, DEN, k2=1, n2=2)
+                sig, row, band, room = signatures(h, d, sizes, NUM, DEN, k2=1, n2=2, slack=0.3)
                 code = (sizes[row] << 24) | (np.clip(room, 0, 65535) << 8) | band
                 yield pa.RecordBatch.from_arrays([_long(sig), pa.array(ids[row]), pa.array(code)], ["sig", "doc_id", "code"])
 

@@ -98,8 +98,9 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, num: int
                 tag = gat[keep].astype(np.uint64) * U(n2) + U(left)
                 out_sig.append(mix(whole[keep] - marked[keep, left] + salt[gof[keep]] + tag * U(0xD1342543DE82EF95)))
                 out_doc.append(gof[keep])
-            empty = np.bincount(gof[none], minlength=len(sizes))
-        agree = n1 - k // (k2 + 1)  # groups that hold at most k2 differences
+            # a difference spoils one part: choices of one part are counted by part, others by group
+            empty = np.bincount(of[~filled], minlength=len(sizes)) if n2 == 2 else np.bincount(gof[none], minlength=len(sizes))
+        agree = parts - k if n2 == k2 + 1 else n1 - k // (k2 + 1)
         scarce |= takes & (empty >= agree)
         new = np.concatenate(out_doc)[sum(map(len, out_band)) :]
         out_band.append(band[new])
