@@ -9,10 +9,11 @@ from tallyline.llm.jaccard_join import op10_ngram_jaccard_join
 from tallyline.llm.main_text import op9_main_text
 from tallyline.llm.piece_codec import op1_piece_codec
 from tallyline.llm.token_counts import op2_token_counts
+from tallyline.llm.pii import op7_pii_weak_supervision
 from tallyline.llm.toxicity import op8_toxicity_grammar
 from tallyline.llm.url_rules import OP5_SQL, op5_url_rules
 
-_QUERIES = [op1_piece_codec, op2_token_counts, op3_template_decontamination, op4_chat_format, op5_url_rules, op6_exact_topk, op8_toxicity_grammar, op9_main_text, op10_ngram_jaccard_join]
+_QUERIES = [op1_piece_codec, op2_token_counts, op3_template_decontamination, op4_chat_format, op5_url_rules, op6_exact_topk, op7_pii_weak_supervision, op8_toxicity_grammar, op9_main_text, op10_ngram_jaccard_join]
 
 
 def queries() -> dict:

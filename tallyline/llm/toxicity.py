@@ -303,3 +303,14 @@ def op8_toxicity_grammar(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= SCORE).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, score: float = SCORE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score less than ``score``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) < score))
+
+    return docs.mapInArrow(run, docs.schema)
