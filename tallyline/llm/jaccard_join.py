@@ -37,7 +37,7 @@ from tallyline.llm.vectext import U, mix, shingle_sets, words
 
 #: Links need num/den of the union.
 NUM, DEN = 4, 5
-#: Larger buckets are hot: not all of their open pairs are tried, see ``_scarce``.
+#: Larger buckets of several components are hot: not all of their open pairs are tried, see ``_scarce``.
 SMALL_BUCKET = 32
 SKETCH_BITS_A_SHINGLE = 2
 
@@ -172,7 +172,8 @@ def _scarce(hot: DataFrame) -> DataFrame:
     """Documents that may share nothing but hot signatures with a partner.
 
     A document shares at least its ``room`` signatures of a band with a partner
-    of that band. If fewer of them are hot, the two also meet in a small bucket.
+    of that band. If fewer of them are hot, the two also meet in a small bucket
+    (or in one that a component covers, and then need no try).
     """
     return hot.groupBy("doc_id", (F.col("code") % 256).alias("band")).agg(F.count(F.lit(1)).alias("hot"), F.max(F.expr("shiftright(code, 8) & 65535")).alias("room")).where("hot >= room").select("doc_id").distinct()
 
@@ -211,11 +212,11 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     shared = saved(rows.withColumns({"p": F.lag("doc_id").over(per), "q": F.lead("doc_id").over(per)}).where("p is not null or q is not null").select(F.col("sig").alias("key"), "code", "doc_id"), "buckets")
     links = _links(_tries(shared, "key"), reps, docs, width)
     comp = small_or_not(components(links).withColumnRenamed("node", "doc_id"))
-    sizes = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL_BUCKET).select("key"), "hot")
-    hot = small_or_not(sizes)
     placed = lambda df: df.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    pairs = _open_pairs(placed(shared.join(hot, "key", "left_anti").select("key", F.expr("shiftright(code, 24)").alias("n"), "doc_id")))
-    scarce = saved(_scarce(shared.join(hot, "key", "left_semi")), "scarce")
+    span = placed(shared).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = saved(shared.join(saved(span.where("lo < hi").select("key", "size"), "spans"), "key"), "mixed")
+    pairs = _open_pairs(placed(mixed.where(F.col("size") <= SMALL_BUCKET).select("key", F.expr("shiftright(code, 24)").alias("n"), "doc_id")))
+    scarce = saved(_scarce(mixed.where(F.col("size") > SMALL_BUCKET)), "scarce")
     if not scarce.isEmpty():
         pairs = pairs.union(_open_pairs(placed(_rare_prefixes(_narrow(docs, scarce, "left_semi"), width))))
     pairs = saved(pairs.distinct(), "open")
@@ -224,13 +225,21 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
 
 
 def _rare_prefixes(docs: DataFrame, width: int) -> DataFrame:
-    """(key, n, doc_id): the ``n - ceil(n * NUM / DEN) + 1`` rarest shingles of each document, of which two that link share one."""
+    """(key, n, doc_id): those of the ``n - ceil(n * NUM / DEN) + 1`` rarest shingles of each document that another has too.
+
+    Two documents that link share one of them. A document whose shingles of its
+    own alone fill its prefix is out before anything is joined.
+    """
     features = docs.mapInArrow(_features(width), "doc_id long, features binary")
     flat = saved(features.mapInArrow(_rare, "doc_id long, feature long, n int"), "flat")
-    often = flat.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = flat.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id"))
+    own = often.where("df = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    sizes = flat.groupBy("doc_id").agg(F.max("n").alias("n"))
+    left = sizes.join(own, "doc_id", "left").select("doc_id", F.coalesce("own", F.lit(0)).alias("own"), F.expr(f"n - (n * {NUM} + {DEN - 1}) div {DEN} + 1").alias("prefix"))
+    left = small_or_not(saved(left.where("own < prefix"), "left"))
     by = Window.partitionBy("doc_id").orderBy("df", "feature")
-    ranked = flat.join(often, "feature", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", F.row_number().over(by))
-    return ranked.where(f"rank <= n - (n * {NUM} + {DEN - 1}) div {DEN} + 1 and df > 1").select(F.col("feature").alias("key"), F.col("n").cast("long").alias("n"), "doc_id")
+    ranked = flat.join(left, "doc_id").join(often.where("df > 1").select("feature", "df"), "feature").withColumn("rank", F.col("own") + F.row_number().over(by))
+    return ranked.where("rank <= prefix").select(F.col("feature").alias("key"), F.col("n").cast("long").alias("n"), "doc_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
