@@ -158,14 +158,19 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs of one bucket (key) in different components whose sizes allow a link.
 
     Members outside a bucket's largest component meet all others, so a large
-    component costs its size times the rest, never its square.
+    component costs its size times the rest, never its square. ``rank`` is the
+    key's place among a member's features in the common order, 0 if unknown: the
+    first feature that two sets share leaves what comes after it as the most
+    that they can still have in common.
     """
     part = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = part.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
     mixed = saved(members.join(main, "key"), "mixed")
-    left = mixed.where("component <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "main")
-    right = mixed.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return left.join(right, "key").where(f"(cb = main or ca < cb) and na * {NUM} <= nb * {DEN} and nb * {NUM} <= na * {DEN}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = mixed.where("component <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), "main")
+    right = mixed.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
+    fits = f"(cb = main or ca < cb) and na * {NUM} <= nb * {DEN} and nb * {NUM} <= na * {DEN}"
+    enough = f"(1 + least(na - ra, nb - rb)) * {NUM + DEN} >= {NUM} * (na + nb)"
+    return left.join(right, F.expr(f"key = k and {fits} and {enough}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _scarce(hot: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     placed = lambda df: df.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     span = placed(shared).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = saved(shared.join(saved(span.where("lo < hi").select("key", "size"), "spans"), "key"), "mixed")
-    pairs = _open_pairs(placed(mixed.where(F.col("size") <= SMALL_BUCKET).select("key", F.expr("shiftright(code, 24)").alias("n"), "doc_id")))
+    pairs = _open_pairs(placed(mixed.where(F.col("size") <= SMALL_BUCKET).select("key", F.expr("shiftright(code, 24)").alias("n"), F.lit(0).alias("rank"), "doc_id")))
     scarce = saved(_scarce(mixed.where(F.col("size") > SMALL_BUCKET)), "scarce")
     if not scarce.isEmpty():
         pairs = pairs.union(_open_pairs(placed(_rare_prefixes(_narrow(docs, scarce, "left_semi"), width))))
@@ -225,7 +230,7 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
 
 
 def _rare_prefixes(docs: DataFrame, width: int) -> DataFrame:
-    """(key, n, doc_id): those of the ``n - ceil(n * NUM / DEN) + 1`` rarest shingles of each document that another has too.
+    """(key, n, rank, doc_id): those of the ``n - ceil(n * NUM / DEN) + 1`` rarest shingles of each document that another has too.
 
     Two documents that link share one of them. A document whose shingles of its
     own alone fill its prefix is out before anything is joined.
@@ -239,7 +244,7 @@ def _rare_prefixes(docs: DataFrame, width: int) -> DataFrame:
     left = small_or_not(saved(left.where("own < prefix"), "left"))
     by = Window.partitionBy("doc_id").orderBy("df", "feature")
     ranked = flat.join(left, "doc_id").join(often.where("df > 1").select("feature", "df"), "feature").withColumn("rank", F.col("own") + F.row_number().over(by))
-    return ranked.where("rank <= prefix").select(F.col("feature").alias("key"), F.col("n").cast("long").alias("n"), "doc_id")
+    return ranked.where("rank <= prefix").select(F.col("feature").alias("key"), F.col("n").cast("long").alias("n"), "rank", "doc_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
