@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.common import read_table
 
-#: Labelled pages that weights are fitted on, and the most features that are kept.
+#: Labelled pages that weights are fitted on, in expectation, and the most features that are kept.
 SAMPLE_PAGES, FEATURES = 2000, 2000
 #: Words that the prior of a usual name counts for.
 PRIOR = 200
@@ -158,9 +158,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Weights:
-    """Weights from up to ``sample`` pages with an article, chosen by hash; of the prior alone if there are none."""
+    """Weights from about ``sample`` pages with an article, drawn where they are read; of the prior alone if there are none."""
     labelled = pages.select("html").where("html is not null and contains(lower(html), '<article')")
-    some = labelled.orderBy(F.xxhash64("html")).limit(sample)
+    n = labelled.count()
+    some = labelled.sample(min(1.0, sample / max(n, 1)), seed=5)
     counts = some.mapInArrow(_counted, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
     containers, tags = {}, {}
     for name, i, o in counts.orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(FEATURES).collect():

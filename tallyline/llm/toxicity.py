@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.common import read_table, saved
 
-#: Labelled rows that the lexicon and the model are fitted on; candidate stems held while fitting.
+#: Labelled rows, in expectation, that the lexicon and the model are fitted on; candidate stems held while fitting.
 TRAIN_ROWS, CANDIDATES = 12_000, 100_000
 #: Lengths of prefixes that may be stems, rows that must have one, and least log-ratio of its rates.
 SHORTEST, LONGEST, LEAST_ROWS, LEAST_RATIO = 4, 12, 3, math.log(5)
@@ -268,9 +268,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on up to ``rows`` labelled documents, chosen by hash, that aren't held out."""
+    """Fit on about ``rows`` labelled documents, chosen by the hash of their id, that aren't held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    some = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled")
+    known = saved(known, "known")
+    share = min(1.0, rows / max(known.count(), 1))
+    some = saved(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = saved(texts.join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "sample")
     stems = fit_stems(sample)
