@@ -12,17 +12,19 @@ APPROVABLE = ("APPROVED", "FOR_CONSTRUCTION")
 def successor_cycles(edges: DataFrame) -> DataFrame:
     """Nodes (id) that lie on a cycle of (id, next), at most one ``next`` an id.
 
-    Pointer doubling: after k joins each node points 2**k steps ahead, and only
-    nodes that so long a chain ends in are kept. Once the pointer spans more
-    steps than nodes are left, those are the nodes on cycles.
+    Pointer doubling: after k joins each node points 2**k steps ahead, if its
+    walk is that long. Once neither the nodes with a pointer nor the nodes
+    pointed at get fewer, the step maps the latter onto themselves, so they are
+    those on cycles. That takes a logarithmic number of joins in the longest walk.
     """
     spark = edges.sparkSession
     jump, nodes = _cut(spark, edges.where("id is not null and next is not null").groupBy("id").agg(F.min("next").alias("next")))
-    span = 1
-    while nodes and span <= nodes:
+    ends, before = jump.select("next").distinct().count(), None
+    while nodes and (nodes, ends) != before:
+        before = nodes, ends
         far = jump.select(F.col("id").alias("next"), F.col("next").alias("after"))
         jump, nodes = _cut(spark, jump.join(far, "next").select("id", F.col("after").alias("next")))
-        span *= 2
+        ends = jump.select("next").distinct().count()
     return jump.select(F.col("next").alias("id")).distinct()
 
 

@@ -9,7 +9,6 @@ from tallyline.functions import scalars as S
 from tallyline.operators import rules as R
 from tallyline.plans.catalogue import scales
 
-_NET = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
 _SUMS = "(select l_orderkey, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as actual from lineitem group by l_orderkey)"
 _PAIRS = f"(select o_orderkey, o_totalprice as expected, s.actual from orders o left join {_SUMS} s on o_orderkey = l_orderkey)"
 _OFF = "(case when expected = 0 then case when actual = 0 then 0 else 'Infinity'::double end else abs(actual - expected) / abs(expected) * 100 end)"
@@ -21,7 +20,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, expected, actual): the order's price and its lines' sum. Lines are summed before the join."""
-    sums = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum(_NET), 2).alias("actual"))
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    sums = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum(net), 2).alias("actual"))
     return read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("expected")).join(sums, "o_orderkey", "left")
 
 

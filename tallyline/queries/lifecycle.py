@@ -35,13 +35,13 @@ select process_id, case when not (pd or rd or i) then '' when part then 'PARTIAL
 
 
 def parse_job_plan(spark, sf_dir):
-    """Slices of 20 pages of documents of 100 characters a page; every tenth document's pages aren't known."""
+    """Slices of 20 pages of documents of 100 characters a page; every tenth document's pages aren't known, 0 stands for no range."""
     t = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 10 > 0, F.floor(F.col("n_chars") / 100)).alias("page_count"))
-    return L.plan_jobs(t).select("file_id", F.col("page_from").cast("long").alias("page_from"), F.col("page_to").cast("long").alias("page_to"))
+    return L.plan_jobs(t).select("file_id", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("page_from", "page_to")))
 
 
 _PLAN = """with d as (select doc_id, case when doc_id % 10 > 0 then n_chars // 100 end as n from documents)
-select doc_id as file_id, f::bigint as page_from, least(f + 19, n)::bigint as page_to from (select doc_id, n, unnest(case when n > 0 then range(1, n + 1, 20) else [null] end) as f from d)"""
+select doc_id as file_id, coalesce(f, 0)::bigint as page_from, case when f is null then 0 else least(f + 19, n) end::bigint as page_to from (select doc_id, n, unnest(case when n > 0 then range(1, n + 1, 20) else [null] end) as f from d)"""
 
 
 def fan_in_ready(spark, sf_dir):
