@@ -39,10 +39,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal spans become their kind in brackets; ``n_chars`` follows."""
-    masked = find_spans(docs, fit_classifier(docs)).withColumn("text", mask(F.col("text"), F.col("spans")))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")  # columns of any name pass by the search
+    masked = find_spans(whole, fit_classifier(docs)).select("row", mask(F.col("text"), F.col("spans")).alias("masked"))
+    new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(docs.columns)
+        new["n_chars"] = F.when(F.col("row.text") == F.col("masked"), F.col("row.n_chars")).otherwise(F.length("masked")).cast(docs.schema["n_chars"].dataType)
+    return masked.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

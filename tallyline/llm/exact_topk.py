@@ -99,20 +99,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     width, across, down = max(1, stats.width or 1), max(1, math.ceil(stats.n / ROW_BLOCK)), max(1, math.ceil(stats.asks / QUERY_BLOCK))
     deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     asking = rows.where("asks").select("row", "vec_id", "embedding", deal(down).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"))
-    held = rows.select("row", "vec_id", "embedding", deal(across).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("r"))
+    # own names on this side: both come from one table, and Catalyst must not take one's columns for the other's
+    held = rows.select(F.col("row").alias("x_row"), F.col("vec_id").alias("x_id"), F.col("embedding").alias("x"), deal(across).alias("x_c"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("x_r"))
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:  # columns by place: row, vec_id, embedding
         if not len(left) or not len(right):
             who = what = np.zeros(0, np.int64)
             value = np.zeros(0)
         else:
-            q_row, x_row, x_id = (t.column(c).to_numpy() for t, c in ((left, "row"), (right, "row"), (right, "vec_id")))
-            who, what, value = best_of_cell(_matrix(left.column("embedding"), scale, width), _matrix(right.column("embedding"), scale, width), q_row, x_row, x_id, k)
-        ask = left.select(["row", "vec_id"]).take(pa.array(who))
-        got = right.select(["vec_id", "row"]).take(pa.array(what))
+            q_row, x_row, x_id = (t.column(c).to_numpy() for t, c in ((left, 0), (right, 0), (right, 1)))
+            who, what, value = best_of_cell(_matrix(left.column(2), scale, width), _matrix(right.column(2), scale, width), q_row, x_row, x_id, k)
+        ask = left.select([0, 1]).take(pa.array(who))
+        got = right.select([1, 0]).take(pa.array(what))
         return pa.table([ask.column(0), ask.column(1), got.column(0), got.column(1), pa.array(value.astype(np.int64))], ["query_row", "query_id", "vec_id", "vec_row", "score"])
 
-    each = asking.groupBy("r", "c").cogroup(held.groupBy("r", "c")).applyInArrow(cell, _FIELDS)
+    each = asking.groupBy("r", "c").cogroup(held.groupBy("x_r", "x_c")).applyInArrow(cell, _FIELDS)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
