@@ -40,6 +40,8 @@ NUM, DEN = 4, 5
 #: Larger buckets of several components are hot: not all of their open pairs are tried, see ``_scarce``.
 SMALL_BUCKET = 32
 SKETCH_BITS_A_SHINGLE = 2
+#: Bits of the sketch that a join condition compares.
+MINI_BITS = 1024
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -66,13 +68,15 @@ def _summary(width: int):
                 one, two = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
                 np.add.at(one, d, mix(h + U(11)))
                 np.add.at(two, d, mix(h ^ U(0x94D049BB133111EB)))
-                sketches = []
+                sketches, minis = [], []
                 spread = mix(h ^ U(0x632BE59BD9B4E019))
                 for lo, n in zip(first, sizes):
                     bits = sketch_bits(int(n))
                     hit = np.bincount((spread[lo : lo + n] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
                     sketches.append(np.packbits(hit.astype(bool), bitorder="little").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes.astype(np.int64)), _long(one), _long(two), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
+                    hit = np.bincount((spread[lo : lo + n] & U(MINI_BITS - 1)).astype(np.int64), minlength=MINI_BITS) & 1
+                    minis.append(np.packbits(hit.astype(bool), bitorder="little").view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes.astype(np.int64)), _long(one), _long(two), pa.array(sketches, pa.binary()), pa.array(minis, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "h1", "h2", "sketch", "mini"])
 
     return run
 
@@ -166,11 +170,13 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     part = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = part.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
     mixed = saved(members.join(main, "key"), "mixed")
-    left = mixed.where("component <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), "main")
-    right = mixed.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
+    mini = F.col("mini") if "mini" in members.columns else F.lit(None).cast("array<long>")
+    left = mixed.where("component <> main").select("key", mini.alias("ma"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), "main")
+    right = mixed.select(F.col("key").alias("k"), mini.alias("mb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
     fits = f"(cb = main or ca < cb) and na * {NUM} <= nb * {DEN} and nb * {NUM} <= na * {DEN}"
     enough = f"(1 + least(na - ra, nb - rb)) * {NUM + DEN} >= {NUM} * (na + nb)"
-    return left.join(right, F.expr(f"key = k and {fits} and {enough}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = f"coalesce(aggregate(zip_with(ma, mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= (na + nb) * {DEN - NUM} div {DEN + NUM}, true)"
+    return left.join(right, F.expr(f"key = k and {fits} and {enough} and {near}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _scarce(hot: DataFrame) -> DataFrame:
@@ -203,7 +209,7 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     sets are the same; if not, they are joined under that id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    meta = saved(docs.mapInArrow(_summary(width), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "summary")
+    meta = saved(docs.mapInArrow(_summary(width), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, mini array<long>"), "summary")
     full = meta.where("n_shingles > 0")
     classes = saved(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
     few = small_or_not(saved(classes.where("copies > 1").select("n_shingles", "h1", "h2", "class_id"), "few"))
@@ -211,7 +217,7 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     once = meta.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo = hi").select("doc_id")
     copies = full.join(few, ["n_shingles", "h1", "h2"]).where("doc_id <> class_id").select("doc_id")
     spare = saved(copies.join(once, "doc_id", "left_semi").distinct(), "spare")
-    reps = saved(_narrow(full.select("doc_id", "n_shingles", "sketch"), spare, "left_anti"), "reps")
+    reps = saved(_narrow(full.select("doc_id", "n_shingles", "sketch", "mini"), spare, "left_anti"), "reps")
     rows = _narrow(docs, spare, "left_anti").mapInArrow(_signed(width), "sig long, doc_id long, code long")
     per = Window.partitionBy("sig").orderBy("code", "doc_id")
     shared = saved(rows.withColumns({"p": F.lag("doc_id").over(per), "q": F.lead("doc_id").over(per)}).where("p is not null or q is not null").select(F.col("sig").alias("key"), "code", "doc_id"), "buckets")
@@ -223,7 +229,7 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     pairs = _open_pairs(placed(mixed.where(F.col("size") <= SMALL_BUCKET).select("key", F.expr("shiftright(code, 24)").alias("n"), F.lit(0).alias("rank"), "doc_id")))
     scarce = saved(_scarce(mixed.where(F.col("size") > SMALL_BUCKET)), "scarce")
     if not scarce.isEmpty():
-        pairs = pairs.union(_open_pairs(placed(_rare_prefixes(_narrow(docs, scarce, "left_semi"), width))))
+        pairs = pairs.union(_open_pairs(placed(_rare_prefixes(_narrow(docs, scarce, "left_semi"), width).join(reps.select("doc_id", "mini"), "doc_id"))))
     pairs = saved(pairs.distinct(), "open")
     more = _links(pairs, reps, docs, width)
     return membership, links.union(more), reps
