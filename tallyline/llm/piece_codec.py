@@ -30,8 +30,8 @@ from tallyline.llm.vectext import U, mix
 
 #: Segmentations that one pre-token can have under one seed.
 STREAMS = 4
-#: Segmented pre-tokens that a worker remembers, and the longest of them: long ones hardly come again.
-REMEMBERED, LONG = 800_000, 24
+#: Segmented pre-tokens that a task remembers, and the longest of them: long ones hardly come again.
+REMEMBERED, LONG = 300_000, 24
 #: A mark of the text itself while a text is cut; no Unicode text holds it.
 _OWN_MARK = "\ud800"
 _NONE = np.iinfo(np.int64).max
@@ -153,11 +153,14 @@ class Codec:
                     known[s][w] = ids
                     self.held += 1
         if self.held > REMEMBERED:
-            for table in known:
-                table.clear()
-            self.held = 0
+            self.forget()
         return [np.frombuffer(b"".join(x), np.int32) for x in got]
 
+    def forget(self) -> None:
+        for table in self.known:
+            table.clear()
+        self.held = 0
+
     def decode(self, ids) -> str:
         """The text of token ids."""
         raw = b"".join(map(self.surface.__getitem__, ids))
@@ -197,6 +200,7 @@ def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, see
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids, pa.array(sizes.astype(np.int64)), pa.array([len(t) for t in part], pa.int64()), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_chars", "lossless"])
                 lo = hi
+        c.forget()  # a reused worker starts its next task small
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return plain.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_chars long, lossless boolean")

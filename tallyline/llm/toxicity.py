@@ -123,7 +123,7 @@ _GRAMMAR = grammar().step
 class Lexicon(dict):
     """Word or mark to symbol; an insult's is ``INSULT + n`` of ``weights[n]``. Grows as words are met, within a bound."""
 
-    HELD = 400_000
+    HELD = 150_000
 
     def __init__(self, stems: dict[str, float]):
         self.stems = sorted(stems)
