@@ -165,17 +165,17 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     component costs its size times the rest, never its square. ``rank`` is the
     key's place among a member's features in the common order, 0 if unknown: the
     first feature that two sets share leaves what comes after it as the most
-    that they can still have in common.
+    that they can still have in common. Parity sketches (``mini``) refute most
+    pairs inside the join.
     """
     part = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = part.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
     mixed = saved(members.join(main, "key"), "mixed")
-    mini = F.col("mini") if "mini" in members.columns else F.lit(None).cast("array<long>")
-    left = mixed.where("component <> main").select("key", mini.alias("ma"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), "main")
-    right = mixed.select(F.col("key").alias("k"), mini.alias("mb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
+    left = mixed.where("component <> main").select("key", F.col("mini").alias("ma"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), "main")
+    right = mixed.select(F.col("key").alias("k"), F.col("mini").alias("mb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
     fits = f"(cb = main or ca < cb) and na * {NUM} <= nb * {DEN} and nb * {NUM} <= na * {DEN}"
     enough = f"(1 + least(na - ra, nb - rb)) * {NUM + DEN} >= {NUM} * (na + nb)"
-    near = f"coalesce(aggregate(zip_with(ma, mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= (na + nb) * {DEN - NUM} div {DEN + NUM}, true)"
+    near = f"aggregate(zip_with(ma, mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= (na + nb) * {DEN - NUM} div {DEN + NUM}"
     return left.join(right, F.expr(f"key = k and {fits} and {enough} and {near}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -226,11 +226,12 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     placed = lambda df: df.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     span = placed(shared).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = saved(shared.join(saved(span.where("lo < hi").select("key", "size"), "spans"), "key"), "mixed")
-    pairs = _open_pairs(placed(mixed.where(F.col("size") <= SMALL_BUCKET).select("key", F.expr("shiftright(code, 24)").alias("n"), F.lit(0).alias("rank"), "doc_id")))
+    members = mixed.where(F.col("size") <= SMALL_BUCKET).select("key", F.expr("shiftright(code, 24)").alias("n"), F.lit(0).alias("rank"), "doc_id")
     scarce = saved(_scarce(mixed.where(F.col("size") > SMALL_BUCKET)), "scarce")
     if not scarce.isEmpty():
-        pairs = pairs.union(_open_pairs(placed(_rare_prefixes(_narrow(docs, scarce, "left_semi"), width).join(reps.select("doc_id", "mini"), "doc_id"))))
-    pairs = saved(pairs.distinct(), "open")
+        members = members.union(_rare_prefixes(_narrow(docs, scarce, "left_semi"), width))
+    members = saved(placed(members.join(reps.select("doc_id", "mini"), "doc_id")), "members")
+    pairs = saved(_open_pairs(members), "open")
     more = _links(pairs, reps, docs, width)
     return membership, links.union(more), reps
 
