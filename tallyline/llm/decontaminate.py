@@ -3,10 +3,15 @@
 Words lose the punctuation around them; numbers, units and names become typed
 placeholders. Five template tokens in a row are a window. Windows of documents
 and benchmark items meet in a hash join, each with the hash of its slot values.
-Per document and item, the share of the item's windows that is met says how
-much of the item is there, and the slot values say how: all equal (``exact``),
-each item value always turned into the same other one (``reparameterised``), or
-neither (``inconsistent``, not reported).
+Per occurrence of an item in a document, the share of the item's windows that is
+met says how much of the item is there, and the slot values say how: all equal
+(``exact``), each item value always turned into the same other one
+(``reparameterised``), or neither (``inconsistent``, not reported).
+
+An occurrence is what lies around one alignment (place in the document less
+place in the item): of each item window the nearest hit, at most half an item
+away. So copies of an item and its variants in one document are judged apart. A
+copy torn further apart is judged on all hits of the document.
 
 A name is a capitalised word that doesn't begin a sentence. Windows need two
 literal words, on both sides, so that tables of numbers match nothing. Items of
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import read_table, saved
+from tallyline.llm.common import read_table, saved, small_or_not
 from tallyline.llm.vectext import U, Words, mix, span_hash, words
 
 WIDTH = 5
@@ -131,12 +136,76 @@ def _windows_of(w: Words, wanted, seen):
     return win[near], pos[near], doc[near], literal[near], slot[near]
 
 
+def _kind(n_slots: int, n_changed: int, n_mixed: int) -> str:
+    return "inconsistent" if 2 * n_mixed > n_slots else "reparameterised" if n_changed + n_mixed else "exact"
+
+
+def _slots(was: np.ndarray, now: np.ndarray) -> tuple[int, int, int]:
+    """(values, values turned into one other, values turned into several)."""
+    if not len(was):
+        return 0, 0, 0
+    order = np.argsort(was, kind="stable")
+    was, now = was[order], now[order]
+    start = np.flatnonzero(np.r_[True, was[1:] != was[:-1]])
+    lo, hi = np.minimum.reduceat(now, start), np.maximum.reduceat(now, start)
+    return len(start), int(((lo == hi) & (lo != was[start])).sum()), int((lo != hi).sum())
+
+
+def _best_occurrence(coverage: float):
+    """The fullest consistent occurrence among the hits of one document and item; of equals the least changed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("pos", "ascending"), ("item_pos", "ascending")])
+        item_pos, n_windows = table["item_pos"].to_numpy(), table["n_windows"][0].as_py()
+        offset = table["pos"].to_numpy() - item_pos
+        order = np.argsort(offset, kind="stable")
+        offset, item_pos = offset[order], item_pos[order]
+        slots, item_slots = (table[c].combine_chunks().take(pa.array(order)) for c in ("slots", "item_slots"))
+        now, was = slots.flatten().to_numpy(zero_copy_only=False), item_slots.flatten().to_numpy(zero_copy_only=False)
+        sizes = slots.value_lengths().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.r_[0, np.cumsum(sizes)]
+        reach = (n_windows + WIDTH - 1) // 2
+        anchors = np.unique(offset)
+        lo, hi = np.searchsorted(offset, anchors - reach), np.searchsorted(offset, anchors + reach, "right")
+        best = None
+        for i in np.flatnonzero(hi - lo >= coverage * n_windows):
+            away = np.abs(offset[lo[i] : hi[i]] - anchors[i])
+            near = np.lexsort((away, item_pos[lo[i] : hi[i]]))
+            places = item_pos[lo[i] : hi[i]][near]
+            near = near[np.r_[True, places[1:] != places[:-1]]]
+            if len(near) < coverage * n_windows or best and len(near) < best[0]:
+                continue
+            chosen = np.zeros(len(sizes), bool)[lo[i] : hi[i]]
+            chosen[near] = True
+            span = slice(ends[lo[i]], ends[hi[i]])
+            use = chosen[of[span] - lo[i]]
+            found = _slots(was[span][use], now[span][use])
+            this = len(near), -found[1] - found[2], found
+            if _kind(*found) != "inconsistent" and (best is None or this[:2] > best[:2]):
+                best = this
+                if len(near) == n_windows and not this[1]:
+                    break
+        if best is None:
+            n_met, found = len(np.unique(item_pos)), _slots(was, now)
+        else:
+            n_met, found = best[0], best[2]
+        row = {"doc_id": table["doc_id"][0].as_py(), "item_id": table["item_id"][0].as_py(), "n_windows": n_windows, "n_met": n_met, "coverage": n_met / n_windows, "n_slots": found[0], "n_changed": found[1], "kind": _kind(*found)}
+        return pa.Table.from_pylist([row])
+
+    return run
+
+
+_LEAK = "doc_id long, item_id long, n_windows long, n_met long, coverage double, n_slots long, n_changed long, kind string"
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Leaks of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text).
 
     Returns (doc_id, item_id, n_windows, n_met, coverage, n_slots, n_changed,
-    kind) of each pair whose met share of item windows is ``coverage`` or more
-    and whose slots are consistent. Null ids and texts, empty texts and empty
+    kind) of each pair of which an occurrence meets a share of ``coverage`` or
+    more of the item's windows and has consistent slots; the figures are those
+    of the fullest one. Null ids and texts, empty texts and empty
     tables give no rows; rows that repeat an id count as one text.
     """
     spark = docs.sparkSession
@@ -151,14 +220,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     )
     hits = saved(hits, "hits")
     met = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_met"))
-    found = met.join(sizes.withColumnRenamed("id", "item_id"), "item_id").withColumn("coverage", F.col("n_met") / F.col("n_windows")).where(F.col("coverage") >= coverage)
-    pairs = hits.where("size(slots) > 0").select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    pairs = pairs.select("doc_id", "item_id", F.col("s.item_slots").alias("was"), F.col("s.slots").alias("now"))
-    each = pairs.groupBy("doc_id", "item_id", "was").agg(F.min("now").alias("lo"), F.max("now").alias("hi"))
-    slots = each.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.expr("lo = hi and lo <> was")).alias("n_changed"), F.count_if(F.expr("lo <> hi")).alias("n_mixed"))
-    out = found.join(slots, ["doc_id", "item_id"], "left").na.fill(0, ["n_slots", "n_changed", "n_mixed"])
-    kind = F.when(F.col("n_mixed") > F.col("n_slots") / 2, "inconsistent").when(F.col("n_changed") + F.col("n_mixed") > 0, "reparameterised").otherwise("exact")
-    return out.withColumn("kind", kind).where("kind <> 'inconsistent'").select("doc_id", "item_id", "n_windows", "n_met", "coverage", "n_slots", "n_changed", "kind")
+    found = met.join(sizes.withColumnRenamed("id", "item_id"), "item_id").where(F.col("n_met") / F.col("n_windows") >= coverage).drop("n_met")
+    near = hits.join(small_or_not(saved(found, "found")), ["doc_id", "item_id"])
+    return near.groupBy("doc_id", "item_id").applyInArrow(_best_occurrence(coverage), _LEAK).where("kind <> 'inconsistent'")
 
 
 def op3_template_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,18 @@ def test_kinds(spark, benchmark):
     assert (17, 5) not in got  # one value became several: not the same question
 
 
+def test_each_occurrence_is_judged_apart(spark, benchmark):
+    """An item and its variant, two variants, and a verbatim item in a long text that holds its windows elsewhere too."""
+    other = ITEM.replace("Boston", "Austin").replace("60", "90").replace("Alice", "Carol").replace("3 hours", "8 hours")
+    torn = "A train leaves Boston at 60 km per hour and meets Alice " + "quite other words " * 30 + "after 3 hours near the old bridge over the river"
+    generic = " ".join(f"leaves Town{i} at {i} km per hour and meets Person{i} after {i} hours near the old" + " filler" * (i % 7) for i in range(200))
+    split = ITEM.replace("per hour and", "per full hour and")
+    rows = {20: ITEM + ". " + SAME, 21: SAME + ". Then " + other, 22: generic + ". " + ITEM + ". " + generic, 23: torn, 24: split + ". " + SAME.replace("per hour and", "per full hour and"), 25: "walk from 5 to 7 is how far if one walks 8 steps and 9 more steps. " * 3}
+    got = {(r.doc_id, r["item_id"]): r for r in leaks(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), benchmark).collect()}
+    assert {k[0]: r.kind for k, r in got.items()} == {20: "exact", 21: "reparameterised", 22: "exact", 23: "exact", 24: "exact"}
+    assert got[20, 1].coverage == got[21, 1].coverage == got[22, 1].coverage == 1.0
+
+
 def test_all_windows_without_the_held_set(spark, benchmark, monkeypatch):
     from tallyline.llm import decontaminate
 
