@@ -13,9 +13,12 @@ place in the item): of each item window the nearest hit, at most half an item
 away. So copies of an item and its variants in one document are judged apart. A
 copy torn further apart is judged on all hits of the document.
 
-A name is a capitalised word that doesn't begin a sentence. Windows need two
-literal words, on both sides, so that tables of numbers match nothing. Items of
-fewer than five words can't be told from chance and match nothing.
+A name is a capitalised word that doesn't begin a sentence. Windows of fewer
+than two literal words go by their literal values, on both sides, and have no
+slots: arithmetic and lists of names are met verbatim, and tables of other
+numbers match nothing. As a variant can't meet these, an item's other windows
+also count alone where their met share is greater. Items of fewer than five
+words can't be told from chance and match nothing.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ _EDGE = np.zeros(256, bool)
 _EDGE[33:128] = ~(_LETTER | _DIGIT)[33:128]
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;"]] = True
-NUMBER, UNIT, NAME = (mix(np.array([0xC0FFEE + i], np.uint64))[0] for i in range(3))
+NUMBER, UNIT, NAME, DENSE = (mix(np.array([0xC0FFEE + i], np.uint64))[0] for i in range(4))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -78,35 +81,41 @@ def templates(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return token[real], literal[real], (number | unit | name)[real], w.doc[real]
 
 
-def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(window hash, number of its first token in the row, row, literal hashes, slot flags) of usable windows."""
+def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window hash, number of its first token in the row, row, literal hashes, slot flags, whether it goes by literal values and so has no slots) of all windows."""
     token, literal, slot, doc = templates(w)
     m = len(token) - WIDTH + 1
     if m <= 0:
         none = np.zeros((0, WIDTH))
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), none.astype(np.uint64), none.astype(bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), none.astype(np.uint64), none.astype(bool), np.zeros(0, bool)
+    step = [mix(np.array([j + 1], np.uint64))[0] | U(1) for j in range(WIDTH)]
     total = np.zeros(m, np.uint64)
     slots = np.zeros(m, np.int8)
     for j in range(WIDTH):
-        total += token[j : j + m] * (mix(np.array([j + 1], np.uint64))[0] | U(1))
+        total += token[j : j + m] * step[j]
         slots += slot[j : j + m]
-    at = np.flatnonzero((doc[:m] == doc[WIDTH - 1 :]) & (slots <= WIDTH - 2))
+    dense = slots > WIDTH - 2
+    full = np.flatnonzero(dense)
+    total[full] = DENSE
+    for j in range(WIDTH):
+        total[full] += literal[j + full] * step[j]
+    at = np.flatnonzero(doc[:m] == doc[WIDTH - 1 :])
     first = np.searchsorted(doc, np.arange(w.hi - w.lo))
     span = at[:, None] + np.arange(WIDTH)
-    return mix(total[at]), at - first[doc[at]], doc[at], literal[span], slot[span]
+    return mix(total[at]), at - first[doc[at]], doc[at], literal[span], slot[span] & ~dense[at, None], dense[at]
 
 
-_WINDOW = "id long, pos long, win long, slots array<long>"
+_WINDOW = "id long, pos long, win long, slots array<long>, dense boolean"
 
 
-def _rows(ids: np.ndarray, pos: np.ndarray, win: np.ndarray, literal: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
+def _rows(ids: np.ndarray, pos: np.ndarray, win: np.ndarray, literal: np.ndarray, slot: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
     sizes = slot.sum(1)
     values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(literal[slot].view(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pos), pa.array(win.view(np.int64)), values], ["id", "pos", "win", "slots"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pos), pa.array(win.view(np.int64)), values, pa.array(dense)], ["id", "pos", "win", "slots", "dense"])
 
 
 def template_windows(df: DataFrame, key: str, only=None) -> DataFrame:
-    """(id, pos, win, slots) of every template window of (key, text); ``only`` is a broadcast sorted array of wanted windows."""
+    """(id, pos, win, slots, dense) of every window of (key, text), dense ones by literal values; ``only`` is a broadcast sorted array of wanted windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = seen = None
@@ -117,23 +126,23 @@ def template_windows(df: DataFrame, key: str, only=None) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for w in words(batch.column(1)):
-                win, pos, doc, literal, slot = _windows_of(w, wanted, seen)
+                win, pos, doc, literal, slot, dense = _windows_of(w, wanted, seen)
                 if len(win):
-                    yield _rows(ids[w.lo + doc], pos, win, literal, slot)
+                    yield _rows(ids[w.lo + doc], pos, win, literal, slot, dense)
 
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, _WINDOW)
 
 
 def _windows_of(w: Words, wanted, seen):
-    win, pos, doc, literal, slot = _windows(w)
+    win, pos, doc, literal, slot, dense = _windows(w)
     if wanted is None:
-        return win, pos, doc, literal, slot
+        return win, pos, doc, literal, slot, dense
     near = np.flatnonzero(seen[(win >> U(42)).astype(np.int64)])
     if len(wanted) and len(near):
         near = near[wanted[np.minimum(np.searchsorted(wanted, win[near]), len(wanted) - 1)] == win[near]]
     else:
         near = near[:0]
-    return win[near], pos[near], doc[near], literal[near], slot[near]
+    return win[near], pos[near], doc[near], literal[near], slot[near], dense[near]
 
 
 def _kind(n_slots: int, n_changed: int, n_mixed: int) -> str:
@@ -156,10 +165,18 @@ def _best_occurrence(coverage: float):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("pos", "ascending"), ("item_pos", "ascending")])
-        item_pos, n_windows = table["item_pos"].to_numpy(), table["n_windows"][0].as_py()
+        item_pos, dense = table["item_pos"].to_numpy(), table["item_dense"].to_numpy()
+        n_windows, n_dense = table["n_windows"][0].as_py(), table["n_dense"][0].as_py()
+        n_open = n_windows - n_dense
+
+        def share(places: np.ndarray, dense: np.ndarray) -> tuple[float, int, int]:
+            """Met share, and (met, number) of all windows, or of those with slots alone where it is greater."""
+            n, m = len(places), int((~dense).sum())
+            return (m / n_open, m, n_open) if n_open and m * n_windows > n * n_open else (n / n_windows, n, n_windows)
+
         offset = table["pos"].to_numpy() - item_pos
         order = np.argsort(offset, kind="stable")
-        offset, item_pos = offset[order], item_pos[order]
+        offset, item_pos, dense = offset[order], item_pos[order], dense[order]
         slots, item_slots = (table[c].combine_chunks().take(pa.array(order)) for c in ("slots", "item_slots"))
         now, was = slots.flatten().to_numpy(zero_copy_only=False), item_slots.flatten().to_numpy(zero_copy_only=False)
         sizes = slots.value_lengths().to_numpy(zero_copy_only=False)
@@ -169,28 +186,29 @@ def _best_occurrence(coverage: float):
         anchors = np.unique(offset)
         lo, hi = np.searchsorted(offset, anchors - reach), np.searchsorted(offset, anchors + reach, "right")
         best = None
-        for i in np.flatnonzero(hi - lo >= coverage * n_windows):
+        for i in np.flatnonzero(hi - lo >= coverage * (n_open or n_windows)):
             away = np.abs(offset[lo[i] : hi[i]] - anchors[i])
             near = np.lexsort((away, item_pos[lo[i] : hi[i]]))
             places = item_pos[lo[i] : hi[i]][near]
             near = near[np.r_[True, places[1:] != places[:-1]]]
-            if len(near) < coverage * n_windows or best and len(near) < best[0]:
+            met = share(near, dense[lo[i] : hi[i]][near])
+            if met[0] < coverage or best and met[0] < best[0][0]:
                 continue
             chosen = np.zeros(len(sizes), bool)[lo[i] : hi[i]]
             chosen[near] = True
             span = slice(ends[lo[i]], ends[hi[i]])
             use = chosen[of[span] - lo[i]]
             found = _slots(was[span][use], now[span][use])
-            this = len(near), -found[1] - found[2], found
+            this = met, -found[1] - found[2], found
             if _kind(*found) != "inconsistent" and (best is None or this[:2] > best[:2]):
                 best = this
-                if len(near) == n_windows and not this[1]:
+                if len(near) == n_windows and not this[1]:  # none can be fuller
                     break
         if best is None:
-            n_met, found = len(np.unique(item_pos)), _slots(was, now)
-        else:
-            n_met, found = best[0], best[2]
-        row = {"doc_id": table["doc_id"][0].as_py(), "item_id": table["item_id"][0].as_py(), "n_windows": n_windows, "n_met": n_met, "coverage": n_met / n_windows, "n_slots": found[0], "n_changed": found[1], "kind": _kind(*found)}
+            places, one = np.unique(item_pos, return_index=True)
+            best = share(places, dense[one]), 0, _slots(was, now)
+        (covered, n_met, n_windows), _, found = best
+        row = {"doc_id": table["doc_id"][0].as_py(), "item_id": table["item_id"][0].as_py(), "n_windows": n_windows, "n_met": n_met, "coverage": covered, "n_slots": found[0], "n_changed": found[1], "kind": _kind(*found)}
         return pa.Table.from_pylist([row])
 
     return run
@@ -205,22 +223,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     Returns (doc_id, item_id, n_windows, n_met, coverage, n_slots, n_changed,
     kind) of each pair of which an occurrence meets a share of ``coverage`` or
     more of the item's windows and has consistent slots; the figures are those
-    of the fullest one. Null ids and texts, empty texts and empty
+    of the fullest one (``n_windows`` and ``n_met`` leave out windows by literal
+    values where that makes a greater share). Null ids and texts, empty texts and empty
     tables give no rows; rows that repeat an id count as one text.
     """
     spark = docs.sparkSession
     items = saved(template_windows(benchmark, "item_id"), "items")
-    sizes = items.groupBy("id").agg(F.countDistinct("pos").alias("n_windows"))
+    sizes = items.groupBy("id").agg(F.countDistinct("pos").alias("n_windows"), F.countDistinct(F.when(F.col("dense"), F.col("pos"))).alias("n_dense"))
     only = None
     if items.count() <= HELD_WINDOWS:
         held = np.array([r[0] for r in items.select("win").distinct().toLocalIterator()], np.int64)
         only = spark.sparkContext.broadcast(np.sort(held.view(np.uint64)))
-    hits = template_windows(docs, "doc_id", only).withColumnRenamed("id", "doc_id").join(
-        items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "win", F.col("slots").alias("item_slots")), "win"
+    hits = template_windows(docs, "doc_id", only).withColumnRenamed("id", "doc_id").drop("dense").join(
+        items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "win", F.col("slots").alias("item_slots"), F.col("dense").alias("item_dense")), "win"
     )
     hits = saved(hits, "hits")
-    met = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_met"))
-    found = met.join(sizes.withColumnRenamed("id", "item_id"), "item_id").where(F.col("n_met") / F.col("n_windows") >= coverage).drop("n_met")
+    met = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_met"), F.countDistinct(F.when(~F.col("item_dense"), F.col("item_pos"))).alias("open_met"))
+    enough = (F.col("n_met") / F.col("n_windows") >= coverage) | ((F.col("n_dense") < F.col("n_windows")) & (F.col("open_met") >= coverage * (F.col("n_windows") - F.col("n_dense"))))
+    found = met.join(sizes.withColumnRenamed("id", "item_id"), "item_id").where(enough).drop("n_met", "open_met")
     near = hits.join(small_or_not(saved(found, "found")), ["doc_id", "item_id"])
     return near.groupBy("doc_id", "item_id").applyInArrow(_best_occurrence(coverage), _LEAK).where("kind <> 'inconsistent'")
 

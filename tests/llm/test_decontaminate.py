@@ -34,6 +34,17 @@ def test_each_occurrence_is_judged_apart(spark, benchmark):
     assert got[20, 1].coverage == got[21, 1].coverage == got[22, 1].coverage == 1.0
 
 
+def test_dense_windows_match_verbatim(spark):
+    """Arithmetic, series and lists of names; a variant of an item of both kinds of windows; other numbers match nothing."""
+    sums, series, names = "Compute 12 + 30 - 7 * 2 = 28", "2 3 5 7 11 13 17 19", "the kings Alfred Edward Harold William Henry Stephen John"
+    both = "Add the numbers 3 4 5 6 7 8 9 10 and give the sum as your answer"
+    items = spark.createDataFrame(list(enumerate([sums, series, names, both])), "item_id long, text string")
+    rows = [(10, "Some text. " + sums + ". More."), (11, "as 1 " + series + " 23"), (12, "We know " + names), (13, both.replace("3 4 5 6 7 8 9 10", "13 14 15 16 17 18 19 20")), (14, "Compute 13 + 31 - 8 * 3 = 20"), (15, " ".join(map(str, range(100, 400)))), (16, "x " + both)]
+    got = {(r.doc_id, r["item_id"]): r for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert {k: r.kind for k, r in got.items()} == {(10, 0): "exact", (11, 1): "exact", (12, 2): "exact", (13, 3): "reparameterised", (16, 3): "exact"}
+    assert got[10, 0].n_windows == got[10, 0].n_met == 2 and got[16, 3].n_windows == 14
+
+
 def test_all_windows_without_the_held_set(spark, benchmark, monkeypatch):
     from tallyline.llm import decontaminate
 
