@@ -8,7 +8,8 @@ differences, so some choice of ``n2 - k2`` of its parts agrees, and each such
 choice of each group is one signature. A choice that is empty in both sets says
 nothing and is not emitted; a set that has so many empty choices that nothing
 but these might agree emits the tokens of a prefix filter besides. Both sets of
-such a pair are in that state, hence no pair is lost.
+such a pair are in that state, hence no pair is lost. If one set alone is in it,
+the two share a choice that isn't empty.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from tallyline.llm.vectext import U, mix
 
 RATIO = 1.7
-PREFIX_BAND, NO_LIMIT = 254, 65535
+PREFIX_BAND = 254
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,8 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, num: int
     """(signature, row, band, room) for sets given as hashes sorted by row.
 
     A set shares at least ``room`` of its signatures of a band with any partner
-    of that band. Bands count from 0; the prefix filter's tokens are band 254.
+    of that band, unless both have so many empty choices that they meet by a
+    prefix token alone. Bands count from 0; the prefix filter's tokens are band 254.
     """
     if not len(hashes):
         none = np.zeros(0, np.int64)
@@ -104,7 +106,7 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, num: int
         scarce |= takes & (empty >= agree)
         new = np.concatenate(out_doc)[sum(map(len, out_band)) :]
         out_band.append(band[new])
-        rooms.append((agree - empty)[new])
+        rooms.append(np.maximum(agree - empty, 1)[new])
     sig, row, of_band, room = (np.concatenate(x) for x in (out_sig, out_doc, out_band, rooms))
     if scarce.any():
         use = scarce[doc]
@@ -114,8 +116,7 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, num: int
         size = np.where(scarce, sizes, 0)
         rank = np.arange(len(h)) - (np.cumsum(size) - size)[d]
         keep = rank < (sizes - (sizes * num + den - 1) // den + 1)[d]
-        room[scarce[row]] = NO_LIMIT  # the prefix filter speaks for these
         sig, row = np.concatenate([sig, mix(h[keep] + U(0x853C49E6748FEA9B))]), np.concatenate([row, d[keep]])
         of_band = np.concatenate([of_band, np.full(keep.sum(), PREFIX_BAND)])
         room = np.concatenate([room, np.ones(keep.sum(), np.int64)])
-    return sig, row, of_band, np.minimum(room, NO_LIMIT)
+    return sig, row, of_band, np.minimum(room, 65535)

@@ -67,6 +67,27 @@ def test_signatures_lose_no_pair():
     assert linked > 500
 
 
+def test_room_holds_for_every_linked_pair():
+    """Both sets of a linked pair share ``room`` signatures of some band, or a prefix token; also if only one has prefix tokens."""
+    rng = np.random.default_rng(4)
+    one_scarce = 0
+    for _ in range(4000):
+        n = int(rng.integers(2, 40))
+        d = int(rng.integers(0, max(2, n // 4 + 1)))
+        pool = rng.integers(1, 2**63, n + d, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.r_[pool[d // 2 : n], pool[n:]])
+        common = len(np.intersect1d(a, b))
+        if 5 * common < 4 * (len(a) + len(b) - common):
+            continue
+        h, row = np.r_[a, b], np.r_[np.zeros(len(a), int), np.ones(len(b), int)]
+        sig, of, band, room = signatures(h, row, np.array([len(a), len(b)]), k2=1, n2=2, slack=0.3)
+        one_scarce += len(set(of[band == 254])) == 1
+        both = {(s, k) for s, k in zip(sig[of == 0], band[of == 0])} & {(s, k) for s, k in zip(sig[of == 1], band[of == 1])}
+        shared = {k: sum(x == k for _, x in both) for _, k in both}
+        assert 254 in shared or any(all(n >= room[(band == k) & (of == i)].max() for i in (0, 1)) for k, n in shared.items())
+    assert one_scarce > 20
+
+
 def test_sketch_bounds_from_below():
     rng = random.Random(5)
     from tallyline.llm.vectext import mix
