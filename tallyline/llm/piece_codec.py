@@ -2,15 +2,15 @@
 
 Merging follows the model: of the adjacent symbol pairs of a pre-token whose
 join is a piece, the best-scored and then leftmost is merged first. A candidate
-merge is skipped when a keyed hash of (seed, stream, place, piece) falls under
-``dropout``. A pre-token's stream is a keyed hash of (seed, document, place in
-the document), so that one word is cut differently at different places, while
-the few streams keep the number of distinct jobs bounded. Symbols outside the
-vocabulary, and the space mark where a text holds it itself, become bytes; so
-decoding always gives the text back.
-
-All pre-tokens of a batch that have not been met are merged in lockstep by
-numpy: one merge of each word a round, until no agenda has a candidate.
+merge is skipped when a keyed hash of (seed, document, place in the document,
+place in the word, piece) falls under ``dropout``, so that each occurrence of a
+word is cut on its own. Symbols outside the vocabulary, and the space mark where
+a text holds it itself, become bytes; so decoding always gives the text back.
+
+A cut depends on the word and on which of the pieces inside it are skipped,
+nothing else: occurrences of a word that skip the same ones are merged once.
+What a task doesn't remember is merged in lockstep by numpy: one merge of each
+word a round, until no agenda has a candidate.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from tallyline.llm.common import read_table
 from tallyline.llm.pieces import MARK
 from tallyline.llm.vectext import U, mix
 
-#: Segmentations that one pre-token can have under one seed.
-STREAMS = 4
-#: Segmented pre-tokens that a task remembers, and the longest of them: long ones hardly come again.
+#: Most pieces inside a pre-token whose skips are told apart in one number; words of more are merged at each place.
+MASK_BITS = 62
+#: Segmentations that a task remembers, and the longest pre-tokens of them: long ones hardly come again.
 REMEMBERED, LONG = 300_000, 24
 #: A mark of the text itself while a text is cut; no Unicode text holds it.
 _OWN_MARK = "\ud800"
@@ -59,32 +59,36 @@ class Codec:
         self.rank[order] = np.arange(self.size)
         self.surface = [t.replace(MARK, " ").encode() if k == 1 else bytes([int(t[3:5], 16)]) if k == 6 else b"" for t, k in zip(model.text, model.kind)]
         self.byte = np.array([model.byte[b] for b in range(256)])
-        self.known: list[dict[str, bytes]] = [{} for _ in range(STREAMS)]
-        self.held = 0
+        self.longest = max(map(len, model.id))
+        self.forget()
+
+    def _drawn(self, candidate: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Whether each candidate (piece, and place in its word above bit 20) is skipped at the occurrence of that key."""
+        return (mix(candidate + key) >> U(32)).astype(np.int64) < self.limit
 
-    def _agenda(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, stream: np.ndarray) -> np.ndarray:
+    def _agenda(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key_of: np.ndarray) -> np.ndarray:
         """Rank of each pair's join, or none: no such piece, or skipped by the keyed hash."""
         key = left * self.size + right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         ok = (left >= 0) & (right >= 0) & (self.pair[at] == key)
         piece = self.joined[at]
-        drawn = mix(piece.astype(np.uint64) + (place.astype(np.uint64) << U(20)) + (stream.astype(np.uint64) << U(52)) + mix(np.array([self.seed & 0xFFFFFFFFFFFFFFFF], np.uint64)))
-        ok &= (drawn >> U(32)).astype(np.int64) >= self.limit
+        if self.limit:
+            ok &= ~self._drawn(piece.astype(np.uint64) + (place.astype(np.uint64) << U(20)), key_of)
         return np.where(ok, self.rank[piece], _NONE)
 
-    def segment(self, words: list[str], streams: np.ndarray) -> list[bytes]:
-        """Token ids of each pre-token, as the bytes of 32-bit numbers."""
+    def segment(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """Token ids of each pre-token at the occurrence of that key, as the bytes of 32-bit numbers."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym = self.char[code].astype(np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
         place = np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        stream = np.asarray(streams, np.int64)
+        keys = np.asarray(keys, np.uint64)
         done_sym, done_word, done_place = [], [], []
         rank = np.full(len(sym), _NONE)
         if len(sym) > 1:
             inner = word[1:] == word[:-1]
-            rank[:-1] = np.where(inner, self._agenda(sym[:-1], sym[1:], place[:-1], stream[word[:-1]]), _NONE)
+            rank[:-1] = np.where(inner, self._agenda(sym[:-1], sym[1:], place[:-1], keys[word[:-1]]), _NONE)
         by_rank = np.argsort(self.rank)
         while len(sym):
             start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -109,10 +113,10 @@ class Codec:
             rank[moved] = _NONE
             right = moved[moved + 1 < len(sym)]
             right = right[word[right + 1] == word[right]]
-            rank[right] = self._agenda(sym[right], sym[right + 1], place[right], stream[word[right]])
+            rank[right] = self._agenda(sym[right], sym[right + 1], place[right], keys[word[right]])
             left = moved[moved > 0]
             left = left[word[left - 1] == word[left]] - 1
-            rank[left] = self._agenda(sym[left], sym[left + 1], place[left], stream[word[left]])
+            rank[left] = self._agenda(sym[left], sym[left + 1], place[left], keys[word[left]])
         if done_sym:
             sym, word, place = (np.concatenate(x) for x in (done_sym, done_word, done_place))
             order = np.lexsort((place, word))
@@ -127,39 +131,85 @@ class Codec:
             out[i] = np.array(found, np.int32).tobytes()
         return out
 
+    def _inside(self, word: str) -> list[int] | None:
+        """Candidates of the pieces inside a pre-token, or none if they are too many to tell apart."""
+        if len(word) > LONG:
+            return None
+        of, n = self.model.id, len(word)
+        found = [of[word[i:j]] + (i << 20) for i in range(n - 1) for j in range(i + 2, min(n, i + self.longest) + 1) if word[i:j] in of] if self.limit else []
+        return found if len(found) <= MASK_BITS else None
+
+    def _number(self, words: list[str]) -> np.ndarray:
+        """A number for each pre-token, or -1 for those that are merged at each place."""
+        numbers = self.number
+        for w in set(words).difference(numbers):
+            inside = self._inside(w)
+            if inside is None:
+                numbers[w] = -1
+            else:
+                numbers[w] = len(self.inside)
+                self.inside.append(np.array(inside, np.uint64))
+        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+
+    def _masks(self, number: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which pieces inside its word each occurrence skips, a bit each."""
+        masks = np.zeros(len(number), np.int64)
+        met, of = np.unique(number, return_inverse=True)
+        lists = [self.inside[i] for i in met.tolist()]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat, first = np.concatenate([np.zeros(0, np.uint64), *lists]), np.cumsum(sizes) - sizes
+        for lo in range(0, len(number), 50_000):
+            some = of[lo : lo + 50_000]
+            n = sizes[some]
+            row = np.repeat(np.arange(len(some)), n)
+            bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.flatnonzero(self._drawn(flat[first[some][row] + bit], keys[lo : lo + 50_000][row]))
+            np.add.at(masks[lo : lo + 50_000], row[hit], np.int64(1) << bit[hit])
+        return masks
+
     def encode(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text; ``keys`` (document ids) choose the streams."""
-        known, got, missing = self.known, [], {}
+        """Token ids of each text; ``keys`` (document ids) are part of what chooses the skipped merges."""
+        parts, cuts, drawn = [], [0], []
+        seed = mix(np.array([self.seed & 0xFFFFFFFFFFFFFFFF], np.uint64))
         for k, t in zip(keys, texts):
-            parts = [w for w in pieces.pretokens(t.replace(MARK, _OWN_MARK)) if w]
+            new = [w for w in pieces.pretokens(t.replace(MARK, _OWN_MARK)) if w]
+            parts += new
+            cuts.append(len(parts))
             if self.limit:
-                key = mix(np.array([(k ^ (self.seed << 17)) & 0xFFFFFFFFFFFFFFFF], np.uint64))
-                streams = ((mix(np.arange(len(parts), dtype=np.uint64) + key) >> U(40)) % U(STREAMS)).tolist()
-            else:
-                streams = [0] * len(parts)
-            found = [known[s].get(w) for s, w in zip(streams, parts)]
-            if None in found:
-                for i, x in enumerate(found):
-                    if x is None:
-                        missing.setdefault((streams[i], parts[i]), []).append((len(got), i))
-            got.append(found)
-        jobs = list(missing)
-        for lo in range(0, len(jobs), 50_000):
-            some = jobs[lo : lo + 50_000]
-            for (s, w), ids in zip(some, self.segment([w for _, w in some], np.array([s for s, _ in some]))):
-                for doc, i in missing[s, w]:
-                    got[doc][i] = ids
-                if len(w) <= LONG:
-                    known[s][w] = ids
-                    self.held += 1
-        if self.held > REMEMBERED:
+                key = mix(np.array([k & 0xFFFFFFFFFFFFFFFF], np.uint64) + seed)
+                drawn.append(mix(np.arange(len(new), dtype=np.uint64) + key))
+        occurrence = np.concatenate(drawn) if drawn else np.zeros(len(parts), np.uint64)
+        number = self._number(parts)
+        masks = np.zeros(len(parts), np.int64)
+        if self.limit:
+            at = np.flatnonzero(number >= 0)
+            masks[at] = self._masks(number[at], occurrence[at])
+        same = list(zip(number.tolist(), masks.tolist()))
+        known = self.known
+        got = list(map(known.get, same))
+        jobs: dict[tuple[int, int], list[int]] = {}
+        for i in [i for i, x in enumerate(got) if x is None]:
+            if same[i][0] >= 0:
+                jobs.setdefault(same[i], []).append(i)
+            else:  # by word and place; without dropout by word
+                jobs.setdefault((parts[i], i if self.limit else -1), []).append(i)
+        todo = list(jobs.items())
+        for lo in range(0, len(todo), 50_000):
+            some = todo[lo : lo + 50_000]
+            first = [at[0] for _, at in some]
+            for (job, at), ids in zip(some, self.segment([parts[i] for i in first], occurrence[first])):
+                for i in at:
+                    got[i] = ids
+                if isinstance(job[0], int):
+                    known[job] = ids
+        if len(known) > REMEMBERED or len(self.number) > REMEMBERED:
             self.forget()
-        return [np.frombuffer(b"".join(x), np.int32) for x in got]
+        return [np.frombuffer(b"".join(got[lo:hi]), np.int32) for lo, hi in zip(cuts[:-1], cuts[1:])]
 
     def forget(self) -> None:
-        for table in self.known:
-            table.clear()
-        self.held = 0
+        self.known: dict[tuple[int, int], bytes] = {}
+        self.number: dict[str, int] = {}
+        self.inside: list[np.ndarray] = []
 
     def decode(self, ids) -> str:
         """The text of token ids."""
@@ -179,7 +229,7 @@ def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, see
     """(doc_id, ids, n_tokens, n_chars, lossless) of each row of ``docs`` (doc_id, text).
 
     ``lossless`` says that decoding ``ids`` gave the text back. Null and empty
-    texts have no ids. A null id counts as 0 for the choice of streams; repeated
+    texts have no ids. A null id counts as 0 for the choice of skips; repeated
     rows of one id get the same ids. No shuffle: a row's ids depend on it alone.
     """
 

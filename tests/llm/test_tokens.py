@@ -43,6 +43,19 @@ def test_dropout_is_lossless_seeded_and_varied(spark, docs, corpus):
     assert [codec.decode(x.tolist()) for x in codec.encode(list(range(len(odd))), odd)] == odd
 
 
+def test_each_occurrence_is_cut_on_its_own(monkeypatch):
+    """A frequent word gets more than a handful of cuts, the same ones whatever a task remembers or a batch holds."""
+    texts = [" international" * 300, "the words of international trade " * 50, "x" * 100 + " é▁日本 international"]
+    got = [x.tolist() for x in C.Codec(PATH, 0.2, 5).encode([1, 2, 3], texts)]
+    one = C.Codec(PATH, 0.2, 5)
+    pieces = [one.model.text[i] for i in got[0]]
+    cuts = set(" ".join(pieces).split("▁"))
+    assert len(cuts) > 20
+    assert [one.encode([k], [t])[0].tolist() for k, t in zip([3, 2, 1], texts[::-1])] == got[::-1]
+    monkeypatch.setattr(C, "MASK_BITS", -1)  # each occurrence merged by itself
+    assert [x.tolist() for x in C.Codec(PATH, 0.2, 5).encode([1, 2, 3], texts)] == got
+
+
 def test_full_dropout_leaves_characters():
     got = C.Codec(PATH, 1.0, 0).encode([0], ["abc"])[0]
     assert len(got) == 4
