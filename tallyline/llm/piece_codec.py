@@ -15,8 +15,10 @@ word a round, until no agenda has a candidate.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from tallyline.llm.vectext import U, mix
 
 #: Most pieces inside a pre-token whose skips are told apart in one number; words of more are merged at each place.
 MASK_BITS = 62
+#: Pre-tokens that come no more often in a batch are merged at each place: cheaper than to list the pieces inside them.
+RARE = 8
 #: Segmentations that a task remembers, and the longest pre-tokens of them: long ones hardly come again.
 REMEMBERED, LONG = 300_000, 24
 #: A mark of the text itself while a text is cut; no Unicode text holds it.
@@ -140,16 +144,18 @@ class Codec:
         return found if len(found) <= MASK_BITS else None
 
     def _number(self, words: list[str]) -> np.ndarray:
-        """A number for each pre-token, or -1 for those that are merged at each place."""
+        """A number for each pre-token, or -1 for those that are merged at each place: too long, or too rare to look inside."""
         numbers = self.number
-        for w in set(words).difference(numbers):
+        for w, n in Counter(words).items():
+            if n <= RARE or w in numbers:
+                continue
             inside = self._inside(w)
             if inside is None:
                 numbers[w] = -1
             else:
                 numbers[w] = len(self.inside)
                 self.inside.append(np.array(inside, np.uint64))
-        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(numbers.get, words, repeat(-1)), np.int64, len(words))
 
     def _masks(self, number: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Which pieces inside its word each occurrence skips, a bit each."""
@@ -184,15 +190,22 @@ class Codec:
         if self.limit:
             at = np.flatnonzero(number >= 0)
             masks[at] = self._masks(number[at], occurrence[at])
-        same = list(zip(number.tolist(), masks.tolist()))
-        known = self.known
-        got = list(map(known.get, same))
-        jobs: dict[tuple[int, int], list[int]] = {}
-        for i in [i for i, x in enumerate(got) if x is None]:
-            if same[i][0] >= 0:
-                jobs.setdefault(same[i], []).append(i)
-            else:  # by word and place; without dropout by word
-                jobs.setdefault((parts[i], i if self.limit else -1), []).append(i)
+        known, got = self.known, [None] * len(parts)
+        jobs: dict[tuple[int, int] | str, list[int]] = {}
+        some = np.flatnonzero(number >= 0)
+        for i, job in zip(some.tolist(), zip(number[some].tolist(), masks[some].tolist())):
+            got[i] = known.get(job)
+            if got[i] is None:
+                jobs.setdefault(job, []).append(i)
+        each = np.flatnonzero(number < 0).tolist()
+        if not self.limit:  # all occurrences are alike
+            for i in each:
+                jobs.setdefault(parts[i], []).append(i)
+            each = []
+        for lo in range(0, len(each), 50_000):
+            at = each[lo : lo + 50_000]
+            for i, ids in zip(at, self.segment([parts[i] for i in at], occurrence[at])):
+                got[i] = ids
         todo = list(jobs.items())
         for lo in range(0, len(todo), 50_000):
             some = todo[lo : lo + 50_000]
@@ -200,7 +213,7 @@ class Codec:
             for (job, at), ids in zip(some, self.segment([parts[i] for i in first], occurrence[first])):
                 for i in at:
                     got[i] = ids
-                if isinstance(job[0], int):
+                if not isinstance(job, str):
                     known[job] = ids
         if len(known) > REMEMBERED or len(self.number) > REMEMBERED:
             self.forget()
