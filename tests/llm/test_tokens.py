@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import base64
+import random
+import time
+
 import public_tokenizers
+import pytest
 import sentencepiece
 
 from tallyline.llm import piece_codec as C
+from tallyline.llm.pieces import pretokens
 from tallyline.llm.token_counts import token_counts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -43,17 +49,52 @@ def test_dropout_is_lossless_seeded_and_varied(spark, docs, corpus):
     assert [codec.decode(x.tolist()) for x in codec.encode(list(range(len(odd))), odd)] == odd
 
 
-def test_each_occurrence_is_cut_on_its_own(monkeypatch):
-    """A frequent word gets more than a handful of cuts, the same ones whatever a task remembers or a batch holds."""
-    texts = [" international" * 300, "the words of international trade " * 50, "x" * 100 + " é▁日本 international"]
-    got = [x.tolist() for x in C.Codec(PATH, 0.2, 5).encode([1, 2, 3], texts)]
-    one = C.Codec(PATH, 0.2, 5)
-    pieces = [one.model.text[i] for i in got[0]]
-    cuts = set(" ".join(pieces).split("▁"))
-    assert len(cuts) > 20
-    assert [one.encode([k], [t])[0].tolist() for k, t in zip([3, 2, 1], texts[::-1])] == got[::-1]
-    monkeypatch.setattr(C, "MASK_BITS", -1)  # each occurrence merged by itself
-    assert [x.tolist() for x in C.Codec(PATH, 0.2, 5).encode([1, 2, 3], texts)] == got
+def by_hand(codec, key, text):
+    """Token ids by a plain loop: the best-scored, then leftmost join that the keyed hash lets through, one at a time."""
+    model, out = codec.model, []
+    doc = C._mixed((key & C._WORD) + int(codec.seed[0]))
+    for at, word in enumerate(w for w in pretokens(text.replace("▁", "\ud800")) if w):
+        occurrence = C._mixed(at + doc)
+        parts = [(c, i) for i, c in enumerate(word)]
+        while True:
+            open_ = []
+            for n, ((a, place), (b, _)) in enumerate(zip(parts, parts[1:])):
+                piece = model.id.get(a + b)
+                if piece is not None and a in model.id and b in model.id and C._mixed(piece + (place << 20) + occurrence) >> 32 >= codec.limit:
+                    open_.append((-model.score[piece], n))
+            if not open_:
+                break
+            n = min(open_)[1]
+            parts[n : n + 2] = [(parts[n][0] + parts[n + 1][0], parts[n][1])]
+        for p, _ in parts:
+            out += [model.id[p]] if p in model.id else [model.byte[x] for x in p.replace("\ud800", "▁").encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_rounds_and_heap_equal_a_plain_loop(corpus, dropout, monkeypatch):
+    texts = [t for t in ODD if t] + ["international " * 20, "x" * 200 + " é▁日本 interna", "antidisestablishmentarianism" * 9] + [t for _, t in corpus[::9] if t]
+    codec = C.Codec(PATH, dropout, 5)
+    keys = [7 * i - 3 for i in range(len(texts))]
+    want = [by_hand(codec, k, t) for k, t in zip(keys, texts)]
+    assert [x.tolist() for x in codec.encode(keys, texts)] == want
+    monkeypatch.setattr(C, "CHUNK_BYTES", 50)
+    assert [x.tolist() for x in codec.encode(keys, texts)] == want
+
+
+def test_each_occurrence_is_cut_on_its_own():
+    """A frequent word gets more than a handful of cuts."""
+    codec = C.Codec(PATH, 0.2, 5)
+    got = codec.encode([1], [" international" * 300])[0].tolist()
+    assert len(set(" ".join(codec.model.text[i] for i in got).split("▁"))) > 20
+
+
+def test_a_run_of_a_million_letters(spark):
+    text = base64.b64encode(random.Random(1).randbytes(750_000)).decode()
+    docs = spark.createDataFrame([(1, text), (2, "x" * 1_000_000)], "doc_id long, text string")
+    began = time.monotonic()
+    assert [r.lossless for r in C.encode_documents(docs, PATH).select("lossless").collect()] == [True, True]
+    assert time.monotonic() - began < 60
 
 
 def test_full_dropout_leaves_characters():
