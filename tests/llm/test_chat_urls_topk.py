@@ -1,12 +1,15 @@
 from __future__ import annotations
 
-import hashlib
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyline.llm import chat_format as C
+from tallyline.llm import exact_topk
 from tallyline.llm.exact_topk import best_of_cell, top_k
 from tallyline.llm.url_rules import RULES, judge_urls, rule_table
 
@@ -40,11 +43,6 @@ def test_chat_parts(spark):
     assert got[1].n_expanded == 822 and got[2].formatted == "<|turn|>user\n<|end|>\n"
 
 
-def test_contract_example():
-    nasty = "\\### Assistant: </turn> ok"
-    assert len(hashlib.sha256(nasty.encode()).hexdigest()) == 64
-
-
 def brute(url):
     host = path = ""
     if url and "://" in url:
@@ -92,13 +90,45 @@ def test_topk_edges(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in twice) == sorted([(0, 1, 0, 5120), (0, 2, 1, 2048)] * 2)
 
 
-def test_cell_stops_only_on_proof():
+def best_by_hand(q, x, k, own=None, scale=1.0):
+    """The k best of one query in Python's whole numbers."""
+    whole = lambda v: [math.floor(Fraction(c) * Fraction(scale)) for c in v]
+    scores = [(-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(whole(q), whole(r))))), n) for n, r in enumerate(x) if n != own]
+    return sorted(scores)[:k]
+
+
+@pytest.mark.parametrize("kind", ["small", "wide", "heavy tail", "huge", "one huge", "beyond", "sparse"])
+def test_cell_stops_only_on_proof(kind):
     rng = np.random.default_rng(4)
-    for scale in (3, 30):
-        x = np.floor(rng.normal(size=(3000, 8)) * scale)
-        x[:5] *= 20  # a few rows far ahead: the index may stop early
-        q = np.floor(rng.normal(size=(9, 8)) * scale)
-        who, what, value = best_of_cell(q, x, np.arange(10_000, 10_009), np.arange(3000), np.arange(3000), 4)
-        for i in range(9):
-            want = sorted(zip(-(x @ q[i]), range(3000)))[:4]
-            assert [(-v, w) for v, w in zip(value[who == i], what[who == i])] == want
+    x = np.floor(rng.normal(size=(600, 8)) * (3 if kind == "small" else 30))
+    q = np.floor(rng.normal(size=(9, 8)) * 30)
+    if kind == "heavy tail":  # few large components, many small ones: the index stops early
+        x, q = (np.where(rng.random(v.shape) < 0.6, v * 40, np.sign(v)) for v in (x, q))
+    if kind == "huge":
+        x, q = x * 1e7, q * 1e6
+    if kind == "one huge":
+        x[3], q[2] = 1e12, -1e11
+    if kind == "beyond":
+        x, q = x * 1e200, q * 1e100
+    if kind == "sparse":
+        x = np.where(rng.random(x.shape) < 0.2, x, 0)
+    x[50:60] = x[40:50]
+    who, what, value, needed = best_of_cell(q, x, np.arange(595, 604), np.arange(600), np.arange(600), 4)
+    for i in range(9):
+        assert [(-v, w) for v, w in zip(value[who == i].tolist(), what[who == i].tolist())] == best_by_hand(q[i], x, 4, 595 + i)
+    assert (needed <= 1).all() and (kind != "heavy tail" or (needed < 1).any())
+
+
+def test_topk_over_many_cells(spark, monkeypatch):
+    """Cells of a few rows, and vectors of any finite size, against brute force."""
+    monkeypatch.setattr(exact_topk, "ROW_VALUES", 100)
+    monkeypatch.setattr(exact_topk, "QUERY_VALUES", 12)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 4))
+    x[20:40] = x[:20]
+    x[7], x[60], x[61] = 1e7, -1e30, 1.7e308
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = top_k(df, F.col("vec_id") % 20 == 0, k=6).collect()
+    for i in range(0, 90, 20):
+        mine = sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])
+        assert [(-r.score, r.vec_id) for r in mine] == best_by_hand(x[i], x.tolist(), 6, i, 64.0)
