@@ -50,13 +50,13 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _floored(values: np.ndarray, scale: float) -> np.ndarray:
-    """``floor(scale * value)`` as floats, all divided by one power of two if squares of them might overflow."""
+def _floored(values: np.ndarray, scale: float) -> tuple[np.ndarray, int]:
+    """``floor(scale * value)`` as floats, and the power of two that all are divided by where squares of them might overflow."""
     most = float(np.abs(values).max(initial=0))
     down = max(0, math.frexp(most)[1] + math.frexp(scale)[1] - 480)
     with np.errstate(over="ignore"):
         whole = np.floor(scale * values)
-    return np.where(np.isinf(whole), np.ldexp(values, -down) * scale, np.ldexp(whole, -down)) if down else whole
+    return (np.where(np.isinf(whole), np.ldexp(values, -down) * scale, np.ldexp(whole, -down)) if down else whole), down
 
 
 def _whole(values: np.ndarray, scale: float) -> list[int]:
@@ -65,10 +65,10 @@ def _whole(values: np.ndarray, scale: float) -> list[int]:
 
 def exact_scores(q: np.ndarray, x: np.ndarray, who: np.ndarray, what: np.ndarray, scale: float) -> np.ndarray:
     """Inner products of the pairs of rows in whole numbers; those beyond 64 bits become the nearest."""
-    fq, fx = _floored(q, scale), _floored(x, scale)
+    (fq, less_q), (fx, less_x) = _floored(q, scale), _floored(x, scale)
     size_q, size_x = np.abs(fq).sum(1), np.abs(fx).max(1, initial=0)
     out = np.zeros(len(who), np.int64)
-    small = size_q[who] * size_x[what] < 2**53
+    small = (size_q[who] * size_x[what] < 2**53) & (less_q + less_x == 0)
     near = np.flatnonzero(small)
     for at in np.array_split(near, len(near) // 8192 + 1):  # sums of whole numbers that floats hold exactly
         out[at] = np.einsum("ij,ij->i", fq[who[at]], fx[what[at]])
@@ -101,13 +101,13 @@ class Index:
 
 def best_of_cell(q: np.ndarray, x: np.ndarray, q_row: np.ndarray, x_row: np.ndarray, x_id: np.ndarray, k: int, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query number, row number, score) of each query's k best rows other than itself, and the share of postings that each query needed."""
-    fq, fx = _floored(q, scale), _floored(x, scale)
+    (fq, less_q), (fx, less_x) = _floored(q, scale), _floored(x, scale)
     most = float(np.abs(fq).sum(1).max(initial=0)) * float(np.abs(fx).max(initial=0))
     kind = np.float32 if most < 2**24 else np.float64
     index = Index(fx, kind)
     rounding = 0.0 if most < 2**53 else (2 * x.shape[1] + 4) * 2.0**-52
-    scaled_down = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) * scale > 2.0**470
-    ceiling = np.inf if scaled_down else 2.0**63 * (1 - 1e-9)
+    rounding = rounding or (less_q + less_x > 0) * 2.0**-40
+    ceiling = math.ldexp(2.0**63 * (1 - 1e-9), -less_q - less_x)
     place = np.argsort(x_row)
     postings = max(1, index.left[0] + sum(len(r) for _, r, _ in index.levels[0]))
     needed, found = np.ones(len(q)), []
@@ -130,7 +130,7 @@ def best_of_cell(q: np.ndarray, x: np.ndarray, q_row: np.ndarray, x_row: np.ndar
             looked = index.left[n]
             bound = np.zeros((len(some), len(x))) if last else np.minimum(l2[some, None] * index.rest[n], (l1[some] * index.largest[n])[:, None]) * (1 + 1e-6) + 1e-3
             if rounding:
-                bound += rounding * l2[some, None] * size2
+                bound += rounding * l2[some, None] * size2 + 1e-280
             at = np.arange(len(some))
             low = score.T - bound
             low[at[own[some] >= 0], own[some][own[some] >= 0]] = -np.inf
