@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,17 +43,18 @@ def texts(spark):
 
 
 def test_base_spans(spark, texts):
-    got = {r.doc_id: [tuple(s) for s in r.base] for r in P.find_spans(texts, None).collect()}
+    got = {r.row.doc_id: [tuple(s) for s in r.base] for r in P.find_spans(texts).collect()}
     assert got == {i: base(t or "") for i, t in enumerate(TEXTS)}
 
 
 def test_added_spans_and_masks(spark, texts):
-    weights = P.fit_classifier(texts)
-    rows = {r.doc_id: r for r in P.find_spans(texts, weights).select("*", P.mask(F.col("text"), F.col("spans")).alias("m"), P.span_text(F.col("spans")).alias("s")).collect()}
+    rows = {r.row.doc_id: r for r in P.find_spans(texts).select("*", P.mask(F.col("row.text"), F.col("spans")).alias("m"), P.span_text(F.col("spans")).alias("s")).collect()}
     kinds = {i: {s.kind for s in r.spans} for i, r in rows.items()}
     assert "secret" in kinds[14] and "secret" in kinds[15]
     for i, r in rows.items():
         assert [tuple(s) for s in r.spans if s.kind in P.BASE] == base(TEXTS[i] or "")
+        added = [(P.ADDED.index(s.kind), s.start) for s in r.spans if s.kind not in P.BASE]
+        assert added == sorted(added)
         for s in r.spans:
             if s.kind not in P.BASE:
                 assert not any(s.start < b.end and b.start < s.end for b in r.base)
@@ -59,6 +63,60 @@ def test_added_spans_and_masks(spark, texts):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(P.span_text(F.array().cast(P.SPAN)), 256).alias("h")).first().h
 
 
+def planted(n, seed):
+    """Prose with one item each, and look-alikes: (text, kind or none, item)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghilmnorstu", k=rng.randint(2, 9)))
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    some = lambda k: "".join(rng.choices(string.ascii_letters + string.digits, k=k))
+    country = lambda: rng.choice(list(P.ACCOUNTS))
+
+    def account():
+        c = country()
+        return c + digits(P.ACCOUNTS[c] - 2)
+
+    make = [
+        ("secret", lambda: (rng.choice(["token = ", "api_key: ", "password="]), "".join(rng.choices("0123456789abcdef", k=40)))),
+        ("secret", lambda: ("key ", "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)))),
+        ("secret", lambda: ("login ", "ghp_" + some(36))),
+        ("identity", lambda: (rng.choice(["ssn ", "social security: "]), f"{rng.randint(1, 599):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}")),
+        ("local_phone", lambda: (rng.choice(["call ", "tel: ", "phone "]), f"({rng.randint(2, 9)}{rng.choice('023456789')}{rng.randint(0, 9)}) 555-{digits(4)}")),
+        ("account", lambda: (rng.choice(["iban ", "account "]), account())),
+        (None, lambda: ("", "/".join(word() for _ in range(5)) + "/1")),
+        (None, lambda: ("version ", f"{rng.randint(1, 9)}.{rng.randint(1, 99)}.{rng.randint(1, 99)}")),
+        (None, lambda: ("order ", digits(17))),
+        (None, lambda: ("", "-".join(word() for _ in range(4)) + "-2024-report")),
+    ]
+    out = []
+    for i in range(n):
+        kind, one = make[i % len(make)]
+        cue, item = one()
+        out.append((" ".join(word() for _ in range(rng.randint(3, 30))) + ". " + cue + item + " " + word(), kind, item))
+    return out
+
+
+def test_recall_of_each_kind(spark):
+    rows = planted(2000, 4)
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.row.doc_id: r for r in P.find_spans(df).collect()}
+    hits, all_of, false = Counter(), Counter(), 0
+    for i, (text, kind, item) in enumerate(rows):
+        found = [s for s in got[i].spans if s.kind in P.ADDED]
+        all_of[kind] += 1
+        if kind:
+            hits[kind] += any(s.kind == kind and item in text[s.start : s.end] for s in found)
+        else:
+            false += bool(found)
+    recall = {k: hits[k] / all_of[k] for k in all_of if k}
+    assert min(recall.values()) >= 0.9 and false <= 0.02 * all_of[None], (recall, false)
+
+
+def test_long_keys_are_candidates(spark):
+    text = "x " + "k" * 60 + "0123456789abcdef" + " y"
+    r = P.search(spark.createDataFrame([(text,)], "text string"), []).first()
+    assert [(c.start, c.end) for c in r.candidates] == [(2, 78)]
+
+
 def test_em_finds_the_better_labeler():
     counts = {(1, 1, 1, 1, 0): 80.0, (1, 1, 0, 1, 0): 15.0, (0, 0, 1, -1, -1): 40.0, (0, 0, 0, -1, -1): 160.0, (0, 0, 1, -1, 0): 30.0}
     _, said, post = P.expectation_maximisation(counts)
@@ -67,7 +125,13 @@ def test_em_finds_the_better_labeler():
 
 
 def test_pii_of_nothing(spark, nothing):
-    assert P.fit_classifier(nothing) is None and P.find_spans(nothing.select("doc_id", "text"), None).count() == 0
+    assert P.find_spans(nothing).count() == 0 and P.fit_classifier(P.search(nothing, [])) is None
+
+
+def test_columns_of_any_name_stay_in_the_row(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "x", "y", "z", "w")], "doc_id long, text string, base string, spans string, candidates string, `a.b` string")
+    r = P.find_spans(df).first()
+    assert r.row.asDict() == {"doc_id": 1, "text": "a@b.co", "base": "x", "spans": "y", "candidates": "z", "a.b": "w"} and [tuple(s) for s in r.spans] == [("email", 0, 6)]
 
 
 def test_grammar():
