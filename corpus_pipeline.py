@@ -14,33 +14,50 @@ from pyspark.sql import functions as F
 from tallyline.llm.common import read_table, saved, small_or_not
 from tallyline.llm.decontaminate import leaks
 from tallyline.llm.jaccard_join import near_duplicates
-from tallyline.llm.pii import find_spans, fit_classifier, mask
+from tallyline.llm.pii import find_spans, mask
 from tallyline.llm.piece_codec import encode_documents
 from tallyline.llm.toxicity import fit, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar rejects go."""
+    """Documents that the toxicity grammar rejects go.
+
+    Null and empty texts score as the model's constant and stay unless it
+    rejects them; repeated rows share their fate. Without labels of both kinds
+    the grammar's fixed weights decide. Columns of any name pass by.
+    """
     return without_toxic(docs, fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
+    """Of each group of near copies the document of the smallest id stays.
+
+    Null, empty and wordless texts are nobody's copies and stay, as do rows
+    with a null id. Rows that repeat an id stay or go together: they are one
+    document here. Columns of any name pass by.
+    """
     groups = near_duplicates(docs.select("doc_id", "text"))
     spare = saved(groups.where("doc_id <> component_id").select("doc_id").distinct(), "spare")
     return docs.join(small_or_not(spare), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, re-parameterised ones too, go."""
+    """Documents that hold a benchmark item, re-parameterised ones too, go.
+
+    Null and empty texts and null ids hold none; an empty benchmark takes
+    nothing; rows that repeat an id go together. Columns of any name pass by.
+    """
     found = saved(leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaking")
     return docs.join(small_or_not(found), "doc_id", "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal spans become their kind in brackets; ``n_chars`` follows."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")  # columns of any name pass by the search
-    masked = find_spans(whole, fit_classifier(docs)).select("row", mask(F.col("text"), F.col("spans")).alias("masked"))
+    """Personal spans become their kind in brackets; ``n_chars``, where there is one, follows a text that changed.
+
+    Null texts stay null, empty ones empty; no row goes, repeated ones are
+    masked each. Columns of any name pass by inside a struct.
+    """
+    masked = find_spans(docs).select("row", mask(F.col("row.text"), F.col("spans")).alias("masked"))
     new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("row.text") == F.col("masked"), F.col("row.n_chars")).otherwise(F.length("masked")).cast(docs.schema["n_chars"].dataType)
@@ -48,7 +65,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with merge-dropout of all that is left."""
+    """Token ids with merge-dropout of all that is left, a row each; null and empty texts have none."""
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
