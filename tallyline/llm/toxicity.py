@@ -28,16 +28,17 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.common import read_table, saved
 
-#: Labelled rows, in expectation, that the lexicon and the model are fitted on; candidate stems held while fitting.
-TRAIN_ROWS, CANDIDATES = 12_000, 100_000
+#: Labelled rows, in expectation, that the lexicon and the model are fitted on.
+TRAIN_ROWS = 12_000
 #: Lengths of prefixes that may be stems, rows that must have one, and least log-ratio of its rates.
 SHORTEST, LONGEST, LEAST_ROWS, LEAST_RATIO = 4, 12, 3, math.log(5)
+#: Least surprise (log-likelihood) of a stem's count in toxic texts.
+LEAST_SURPRISE = 12
 SCORE = 0.7
 
 OTHER, END, COMMA, QUOTE, NEGATION, REPORT, TARGET, THREAT, INSULT = range(9)
 
 # Word lists of the grammar, in English, German, French and Spanish.
-SEEDS = "idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash disgusting bastard asshole bitch retard imbecile dumbass idioten arschloch dummkopf abschaum wertlos crétin connard salaud ordure imbécile estúpido imbécil basura gilipollas".split()
 WORDS = {
     NEGATION: "not no never none nobody isn't aren't wasn't don't doesn't without hardly nicht kein keine keinen nie niemals ohne pas jamais aucun aucune sans ni nunca jamás sin ningún".split(),
     REPORT: "said says say claimed claims reported reports quoted called wrote writes according allegedly told sagte sagt behauptet berichtet laut schrieb dit disait selon déclaré écrit prétend dijo dice según afirmó escribió".split(),
@@ -208,47 +209,43 @@ def _prefixes(text: str | None) -> tuple[Counter, int]:
     return found, len(words)
 
 
-def _count_prefixes(df: DataFrame, only: frozenset | None) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            times, rows, words = Counter(), Counter(), 0
-            for text in batch.column(0).to_pylist():
-                found, n = _prefixes(text)
-                words += n
-                for p, c in found.items():
-                    if only is None or p in only:
-                        times[p] += c
-                        rows[p] += 1
-            times[""], rows[""] = words, len(batch)
-            names = list(times)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([times[p] for p in names], pa.int64()), pa.array([rows[p] for p in names], pa.int64())], ["stem", "times", "rows"])
-
-    return df.select("text").mapInArrow(run, "stem string, times long, rows long").groupBy("stem").agg(F.sum("times").alias("times"), F.sum("rows").alias("rows"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch of (text, toxic): each prefix's times in toxic and in other texts, and its toxic rows; the empty one counts words."""
+    for batch in batches:
+        bad, good, rows = Counter(), Counter(), Counter()
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found, n = _prefixes(text)
+            (bad if toxic else good).update(found)
+            (bad if toxic else good)[""] += n
+            if toxic:
+                rows.update(found.keys())
+        names = sorted(bad.keys() | good.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[p] for p in names], pa.int64()) for c in (bad, good, rows))], ["stem", "bad", "good", "rows"])
 
 
 def fit_stems(sample: DataFrame) -> dict[str, float]:
-    """Stem weights from (text, toxic): each is the log of a stem's rate in toxic texts over that in others."""
-    toxic = _count_prefixes(sample.where("toxic = 1"), None)
-    kept = toxic.where(F.col("rows") >= LEAST_ROWS).orderBy(F.desc("rows"), "stem").limit(CANDIDATES).collect()
-    bad = {r.stem: (r.times, r.rows) for r in kept}
-    if "" not in bad:
-        return dict.fromkeys(SEEDS, 2.0)
-    good = {r.stem: (r.times, r.rows) for r in _count_prefixes(sample.where("toxic = 0"), frozenset(bad)).collect()}
-    n_bad, n_good = bad.pop("")[0] + 1, good.get("", (0, 0))[0] + 1
-    ranked = []
-    for stem, (times, rows) in bad.items():
-        other = good.get(stem, (0, 0))[0]
-        ratio = math.log((times + 0.5) / n_bad) - math.log((other + 0.5) / n_good)
-        expected = (times + other) * n_bad / (n_bad + n_good)
-        surprise = times * math.log(times / expected) - (times - expected)
-        if ratio >= LEAST_RATIO and surprise >= 12:
-            ranked.append((surprise, len(stem), stem, min(ratio, 6.0)))
-    ranked.sort(key=lambda r: (-r[0], -r[1], r[2]))
+    """Stem weights from (text, toxic): each is the log of a stem's rate in toxic texts over that in others.
+
+    Only prefixes that are surprising by these statistics reach the driver: at
+    most a few of each toxic row of the bounded sample. None without toxic rows.
+    """
+    counts = saved(sample.select("text", "toxic").mapInArrow(_counted, "stem string, bad long, good long, rows long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("rows").alias("rows")), "prefixes")
+    words = counts.where("stem = ''").first()
+    if words is None or not words.bad:
+        return {}
+    n_bad, n_good = words.bad + 1, words.good + 1
+    expected = (F.col("bad") + F.col("good")) * (n_bad / (n_bad + n_good))
+    rated = counts.where(f"stem <> '' and rows >= {LEAST_ROWS}").select(
+        "stem",
+        (F.log((F.col("bad") + 0.5) / n_bad) - F.log((F.col("good") + 0.5) / n_good)).alias("ratio"),
+        (F.col("bad") * F.log(F.col("bad") / expected) - (F.col("bad") - expected)).alias("surprise"),
+    )
+    ranked = rated.where((F.col("ratio") >= LEAST_RATIO) & (F.col("surprise") >= LEAST_SURPRISE)).collect()
     stems: dict[str, float] = {}
-    for _, _, stem, ratio in ranked:  # the best of each family of prefixes
-        if not any(stem[:n] in stems for n in range(SHORTEST, len(stem))) and not any(s.startswith(stem) for s in stems):
-            stems[stem] = ratio
-    return dict.fromkeys(SEEDS, 2.0) | stems
+    for r in sorted(ranked, key=lambda r: (-r.surprise, -len(r.stem), r.stem)):  # the best of each family of prefixes
+        if not any(r.stem[:n] in stems for n in range(SHORTEST, len(r.stem))) and not any(s.startswith(r.stem) for s in stems):
+            stems[r.stem] = min(r.ratio, 6.0)
+    return stems
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40) -> np.ndarray:

@@ -172,7 +172,70 @@ def test_toxicity_learns_stems_and_keeps_rows(spark):
     assert wrong <= 9 and got[9001] == got[9002] < 0.5
     kept = T.without_toxic(docs, model)
     assert kept.columns == docs.columns and all(got[r.doc_id] < T.SCORE for r in kept.collect())
-    assert T.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).stems.keys() == dict.fromkeys(T.SEEDS).keys()
+    assert T.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).stems == {}
+
+
+def by_clause(text, lexicon):
+    """Events of a text by plain rules over its clauses: what precedes an insult or threat decides, not tables."""
+    symbols = [lexicon[t] for t in T._TOKEN.findall(text)]
+    total, clause, quoted, reported = [0.0] * T.EVENTS, [], False, False
+    events = []
+    for at, s in enumerate(symbols):
+        if s in (T.END, T.COMMA):
+            clause.append(events)
+            events = []
+        if s == T.END and not quoted:
+            reported = False
+        if s == T.REPORT:
+            reported = True
+        if s == T.QUOTE:
+            quoted, reported = (True, True) if reported and not quoted else (False, False)
+        if s < T.THREAT:
+            continue
+        back, left = at - 1, 3  # a negation reaches three words; quotes don't count, clause ends stop it
+        negated = False
+        while back >= 0 and symbols[back] not in (T.END, T.COMMA) and left > 0:
+            if symbols[back] == T.NEGATION:
+                negated = True
+                break
+            left -= symbols[back] not in (T.QUOTE,) and symbols[back] < T.THREAT
+            back -= 1
+        start = max((i for i in range(at) if symbols[i] in (T.END, T.COMMA)), default=-1)
+        aimed = T.TARGET in symbols[start + 1 : at]
+        weight = lexicon.weights[s - T.INSULT] if s >= T.INSULT else 1.0
+        kind = T.REPORTED if reported else T.NEGATED if negated else (T.AIMED if aimed else T.PLAIN) if s >= T.INSULT else (T.AIMED_MENACE if aimed else T.MENACE)
+        events.append((kind, weight))
+    clause.append(events)
+    for c in clause:
+        for k in range(T.EVENTS):
+            total[k] += min(sum(w for kind, w in c if kind == k), T.CLAUSE_CAP)
+    return total
+
+
+def test_grammar_equals_plain_rules():
+    import math
+
+    rng = random.Random(6)
+    lexicon = T.Lexicon({"idiot": 2.0, "lowei": 3.5})
+    words = ["idiot", "loweine", "kill", "hurt", "not", "never", "said", "claims", "you", "they", "tree", "runs", "well", ".", ",", '"', "\n", "!"]
+    for _ in range(3000):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 25)))
+        assert T.features(text, lexicon)[: T.EVENTS] == pytest.approx([math.log1p(v) for v in by_clause(text, lexicon)]), text
+
+
+def test_contract_columns_of_toxicity(spark):
+    """Shape of the query's rows, the held-out third, and that held-out labels teach nothing."""
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    got = T.op8_toxicity_grammar(spark, "/root/testdata/sf0.001")
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    rows = got.collect()
+    assert len(rows) == docs.count() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
+    flipped = labels.withColumn("toxic", F.when(T.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = T.fit(docs, labels), T.fit(docs, flipped)
+    assert one.stems == two.stems and (one.weights == two.weights).all()
 
 
 PAGES = {
