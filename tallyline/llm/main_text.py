@@ -7,8 +7,12 @@ content region. Inside it, words of boilerplate containers are left out too.
 
 Weights come from pages that label themselves: text inside ``<article>`` is
 content, the rest is not. Tag weights follow the share of a tag's occurrences
-outside articles; a container (tag name or class/id word) is boilerplate by the
-log-odds of the words inside it, with fixed prior counts for usual names.
+outside articles; a container (tag name, first or last word of a class or id) is
+boilerplate by the log-odds of the words inside it, with fixed prior counts for
+usual names.
+
+The region is one run: of several articles far apart on a page the one of most
+words is the text.
 """
 
 from __future__ import annotations
@@ -25,24 +29,26 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.common import read_table
 
-#: Labelled pages that weights are fitted on, in expectation, and the most features that are kept.
-SAMPLE_PAGES, FEATURES = 2000, 2000
+#: Labelled pages that weights are fitted on, in expectation, and least words or tags that a learned name needs among them.
+SAMPLE_PAGES, LEAST = 2000, 5
 #: What a boilerplate word costs inside a content container, which goes on after it; outside it costs 1.
 INNER = 0.02
 #: Words that the prior of a usual name counts for.
 PRIOR = 200
 
 # Names of HTML elements and usual class words.
-SKIPPED = frozenset("script style template noscript svg iframe head title select option textarea button object canvas math".split())
+SKIPPED = frozenset("template noscript svg select object canvas math button".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTAINERS = BOILERPLATE_TAGS | CONTENT_TAGS | frozenset("div section ul ol li dl table thead tbody tr td th p figure figcaption blockquote span details summary fieldset body center".split())
-BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply respond replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets alert".split())
 CONTENT_WORDS = frozenset("article articlebody content entry main post story text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|title|math|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|</?[a-zA-Z][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|</?[a-zA-Z][^>]*>", re.S | re.I)
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS - {'option', 'legend'}, key=len, reverse=True))})\b", re.I)
+_CLOSER = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -66,18 +72,35 @@ class Weights:
 
 
 def class_words(attributes: str) -> list[str]:
-    return [w for m in _NAMES.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w]
+    """First and last word of each class, id and role: what stands between says what a thing isn't as often as what it is."""
+    names = [n for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    parts = [[w for w in _SPLIT.split(n) if w] for n in names]
+    return [w for p in parts if p for w in ((p[0], p[-1]) if len(p) > 1 else p)]
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in page order."""
-    at = 0
-    for m in _TOKEN.finditer(page):
+    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in page order.
+
+    Elements without text of their own are passed over to their end tag, or
+    without one to the next block; only raw text runs on to the end of the page.
+    """
+    at, unclosed = 0, set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             yield "text", page[at : m.start()], ""
         at = m.end()
-        if m[3]:
-            yield ("close" if m[2] else "open"), m[3].lower(), m[4] or ""
+        if not m[3]:
+            continue
+        tag = m[3].lower()
+        yield ("close" if m[2] else "open"), tag, m[4] or ""
+        if tag in SKIPPED and not m[2] and not m[0].endswith("/>"):
+            end = None if tag in unclosed else _CLOSER[tag].search(page, at)
+            if end is None:
+                unclosed.add(tag)  # there is none further on either
+                end = _BLOCK_TAG.search(page, at)
+                at = end.start() if end else len(page)
+            else:
+                at = end.end()
     if at < len(page):
         yield "text", page[at:], ""
 
@@ -89,7 +112,8 @@ def _walk(page: str, weights: Weights | None) -> Iterator[tuple[str, str, list]]
         if kind == "open" and what in CONTAINERS:
             if what in ("p", "li", "td", "tr") and stack and stack[-1][0] == what or what in BLOCKS and stack and stack[-1][0] == "p":
                 stack.pop()
-            verdict = weights.of(what, attributes) if weights else 0.0
+            plain = "div" if what == "header" and any(s[0] == "article" for s in stack) else what  # an article's own header holds its title
+            verdict = weights.of(plain, attributes) if weights else 0.0
             if not verdict and stack:
                 verdict = stack[-1][1]
             elif stack and stack[-1][1] < 0:
@@ -116,7 +140,7 @@ def main_text(page: str | None, weights: Weights) -> str:
             items.append(("text" if good else "other", text))
             scores.append(float(n) if good else -INNER * n if stack[-1][3] else -float(n))
         else:
-            items.append(("block" if what in BLOCKS else "inline", ""))
+            items.append(("block", "") if what in BLOCKS else ("text" if not stack or stack[-1][1] >= 0 else "other", " ") if what == "br" else ("inline", ""))
             scores.append(-weights.tags.get(what, 0.05))
     lo, hi = best_run(scores)
     blocks: list[str] = []
@@ -124,7 +148,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     for kind, text in items[lo:hi]:
         if kind == "text":
             held.append(text)
-        elif kind != "inline":
+        elif kind == "block":
             blocks.append(" ".join("".join(held).split()))
             held = []
     blocks.append(" ".join("".join(held).split()))
@@ -162,12 +186,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Weights:
     """Weights from about ``sample`` pages with an article, drawn where they are read; of the prior alone if there are none."""
-    labelled = pages.select("html").where("html is not null and contains(lower(html), '<article')")
-    n = labelled.count()
-    some = labelled.sample(min(1.0, sample / max(n, 1)), seed=5)
+    labelled = pages.select("page_id", "html").where("html is not null and contains(lower(html), '<article')")
+    share = min(1.0, sample / max(labelled.count(), 1))
+    some = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("html")
     counts = some.mapInArrow(_counted, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
     containers, tags = {}, {}
-    for name, i, o in counts.orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(FEATURES).collect():
+    for name, i, o in counts.where(F.col("i") + F.col("o") >= LEAST).collect():  # names of a bounded sample
         if name[0] == "/":
             tags[name[1:]] = 0.02 + 0.06 * (o + 1) / (i + o + 2)
         elif name[0] == "<" and name[1:] not in BOILERPLATE_TAGS | CONTENT_TAGS:

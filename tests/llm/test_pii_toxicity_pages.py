@@ -239,7 +239,7 @@ def test_contract_columns_of_toxicity(spark):
 
 
 PAGES = {
-    "<html><head><title>t</title></head><body><nav><ul><li>Menu words here</li></ul></nav><article><h1>Head &amp; line</h1><p>One  two<br>three.</p><div class=\"ad\">Buy now this thing</div><p>Four <b>five</b>.</p><form>Your mail <input></form></article><aside>More of it</aside><footer>&copy; us</footer></body></html>": "Head & line\nOne two\nthree.\nFour five.",
+    "<html><head><title>t</title></head><body><nav><ul><li>Menu words here</li></ul></nav><article><h1>Head &amp; line</h1><p>One  two<br>three.</p><div class=\"ad\">Buy now this thing</div><p>Four <b>five</b>.</p><form>Your mail <input></form></article><aside>More of it</aside><footer>&copy; us</footer></body></html>": "Head & line\nOne two three.\nFour five.",
     "<body><header>Site name</header><main><p>Text of the page is here.</p><section id='comments'><p>Reader says a lot of things in here</p></section></main></body>": "Text of the page is here.",
     "<div class='sidebar'>a b c d e f</div><div class='content'><p>Only this counts, really.</p></div><div class='cookie-notice'>We use them all</div>": "Only this counts, really.",
     "<article><p>Cut off in the mid": "Cut off in the mid",
@@ -251,6 +251,13 @@ PAGES = {
     "plain words without tags": "plain words without tags",
     "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>": "deep",
     "<p>a < b and c > d</p>": "a < b and c > d",
+    "<article><p>first part here</p><svg><g>no text<p>second part here</p><p>third <b>one</b></p></article>": "first part here\nsecond part here\nthird one",
+    "<article><p>first part here</p><select><option>a<option>b<p>second part here</p></article>": "first part here\nsecond part here",
+    "<article><canvas><object><svg><p>what is left of the page</p></article>": "what is left of the page",
+    "<article><svg><text>axis label</text></svg><p>the words of it</p><svg/><p>and more words</p></article>": "the words of it\nand more words",
+    "<article><header><h1>The title</h1></header><p>and its long text</p><footer>by me</footer></article>": "The title\nand its long text",
+    "<div class='story-comment-free'><p>A story of many words without any reader</p></div>": "A story of many words without any reader",
+    "<p>tail in a script is none</p><script>var x = 'never closed <p>no</p>": "tail in a script is none",
 }
 
 
@@ -262,6 +269,28 @@ def test_pages(spark):
     assert got[99].text == "" and got[99].url is None and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_pages_of_nothing(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    assert M.extract_pages(df, M.fit_weights(df)).count() == 0
+
+
+def test_many_unclosed_elements_are_read_once():
+    import time
+
+    began = time.monotonic()
+    assert M.main_text("<svg><canvas><p>x " * 30_000, M.Weights({}, {})).count("x") == 30_000
+    assert time.monotonic() - began < 30
+
+
+def test_best_run_equals_all_runs():
+    rng = random.Random(2)
+    for _ in range(500):
+        scores = [rng.choice([-3, -1, -0.5, 0.5, 1, 2]) for _ in range(rng.randint(0, 14))]
+        runs = [(sum(scores[a:b]), -(b - a), -a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        lo, hi = M.best_run(scores)
+        assert sum(scores[lo:hi]) == max([0.0, *(r[0] for r in runs)])
+
+
 def test_best_run():
     assert M.best_run([]) == M.best_run([-1.0]) == (0, 0)
     assert M.best_run([-1, 2, -1, 3, -9, 4]) == (1, 4) and M.best_run([1, -1, 1]) == (0, 1)
