@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import saved
+from tallyline.llm.common import forget, saved
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -31,13 +31,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         step = once.join(further, once["to"] == further["via"], "left").select("a", F.coalesce("next", "to").alias("to"))
         step = saved(step, "step")
         moved = step.select(F.col("a").alias("component"), F.col("to").alias("new"))
-        labels = saved(labels.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
-        left = (
+        were, labels = labels, saved(labels.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+        rest = (
             left.join(step.select("a", F.col("to").alias("na")), "a", "left")
             .join(step.select(F.col("a").alias("b"), F.col("to").alias("nb")), "b", "left")
             .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
             .where("a <> b")
             .distinct()
         )
-        left = saved(left, "edges")
+        done, left = left, saved(rest, "edges")
+        forget(were, once, step, done)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

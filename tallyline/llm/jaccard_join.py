@@ -6,9 +6,12 @@ Plan, each step a Spark job over whole tables:
    document its size, a 128-bit digest and a parity sketch of about two bits a
    shingle. Documents of one digest form a class; its smallest id goes on.
 2. A second pass emits PartEnum signatures of the classes. A window over each
-   signature gives the buckets that hold two classes or more.
-3. In each bucket every class is tried against its predecessor in size order
-   and the first one, not against all. Sketches refute most tries (a parity
+   signature gives the buckets that hold two classes or more. Signatures that a
+   sample shows to be hot are split into groups, so that no task holds a bucket
+   whole; the sample decides on the split alone, all classes go on.
+3. In each bucket, or each group of a split one, every class is tried against
+   its predecessor in size order and the first one, not against all; the first
+   ones of groups are tried in a row. Sketches refute most tries (a parity
    differs only where the sets differ, so they bound the difference from
    below); what is left is verified on the shingles. Links give components.
 4. Only classes of one bucket that are still in different components are open.
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import saved, small_or_not
+from tallyline.llm.common import forget, saved, small_or_not
 from tallyline.llm.components import components
 from tallyline.llm.partenum import signatures
 from tallyline.llm.vectext import U, mix, shingle_sets, words
@@ -39,6 +42,8 @@ from tallyline.llm.vectext import U, mix, shingle_sets, words
 NUM, DEN = 4, 5
 #: Larger buckets of several components are hot: not all of their open pairs are tried, see ``_scarce``.
 SMALL_BUCKET = 32
+#: A signature met ``HOT`` times in the sample (one document of ``SAMPLED``) is split into groups of about ``GROUP`` members.
+SAMPLED, HOT, GROUP = 64, 32, 2048
 SKETCH_BITS_A_SHINGLE = 2
 #: Bits of the sketch that a join condition compares.
 MINI_BITS = 1024
@@ -146,7 +151,9 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
     ids = saved(some.select(F.col("a").alias("doc_id")).union(some.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     features = saved(_narrow(docs, ids, "left_semi").mapInArrow(_features(width), "doc_id long, features binary"), "features")
     both = some.join(features.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a").join(features.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
-    return saved(both.select("a", "b", "fa", "fb").mapInArrow(_verified, "a long, b long"), "links")
+    links = saved(both.select("a", "b", "fa", "fb").mapInArrow(_verified, "a long, b long"), "links")
+    forget(some, ids, features)
+    return links
 
 
 def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,11 +196,24 @@ def _scarce(hot: DataFrame) -> DataFrame:
     return hot.groupBy("doc_id", (F.col("code") % 256).alias("band")).agg(F.count(F.lit(1)).alias("hot"), F.max(F.expr("shiftright(code, 8) & 65535")).alias("room")).where("hot >= room").select("doc_id").distinct()
 
 
-def _tries(buckets: DataFrame, key: str) -> DataFrame:
-    """(a, b): each member of a bucket with the one before it and with the first, by size and id."""
-    by = Window.partitionBy(key).orderBy("code", "doc_id")
+def _grouped(rows: DataFrame, sampled: DataFrame) -> DataFrame:
+    """``rows`` (sig, ..) with ``part``: the group of its bucket for members of hot signatures, null for others."""
+    hot = sampled.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= HOT)
+    hot = saved(hot.select(F.col("sig").alias("hot"), F.ceil(F.col("met") * SAMPLED / GROUP).alias("parts")), "hot")
+    if hot.isEmpty():
+        return rows.withColumn("part", F.lit(None).cast("long"))
+    part = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    return rows.join(small_or_not(hot), F.col("sig") == F.col("hot"), "left").withColumn("part", part).drop("hot", "parts")
+
+
+def _tries(buckets: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket's group with the one before it and with the first, by size and id; and first ones of groups in a row."""
+    by = Window.partitionBy("key", "part").orderBy("code", "doc_id")
     seen = buckets.withColumns({"before": F.lag("doc_id").over(by), "first": F.first("doc_id").over(by)}).where("before is not null")
     each = seen.select(F.col("doc_id").alias("d"), F.explode(F.array("before", "first")).alias("o"))
+    firsts = buckets.where("part is not null").groupBy("key", "part").agg(F.min(F.struct("code", "doc_id")).alias("m")).select("key", "m.*")
+    row = Window.partitionBy("key").orderBy("code", "doc_id")  # one a group: a two-thousandth of the bucket
+    each = each.union(firsts.select(F.col("doc_id").alias("d"), F.lag("doc_id").over(row).alias("o")).where("o is not null"))
     return each.select(F.least("d", "o").alias("a"), F.greatest("d", "o").alias("b")).where("a <> b").distinct()
 
 
@@ -218,10 +238,13 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     copies = full.join(few, ["n_shingles", "h1", "h2"]).where("doc_id <> class_id").select("doc_id")
     spare = saved(copies.join(once, "doc_id", "left_semi").distinct(), "spare")
     reps = saved(_narrow(full.select("doc_id", "n_shingles", "sketch", "mini"), spare, "left_anti"), "reps")
-    rows = _narrow(docs, spare, "left_anti").mapInArrow(_signed(width), "sig long, doc_id long, code long")
-    per = Window.partitionBy("sig").orderBy("code", "doc_id")
-    shared = saved(rows.withColumns({"p": F.lag("doc_id").over(per), "q": F.lead("doc_id").over(per)}).where("p is not null or q is not null").select(F.col("sig").alias("key"), "code", "doc_id"), "buckets")
-    links = _links(_tries(shared, "key"), reps, docs, width)
+    left = _narrow(docs, spare, "left_anti")
+    signed = lambda df: df.mapInArrow(_signed(width), "sig long, doc_id long, code long")
+    rows = _grouped(signed(left), signed(left.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)))
+    per = Window.partitionBy("sig", "part").orderBy("code", "doc_id")
+    shared = rows.withColumns({"p": F.lag("doc_id").over(per), "q": F.lead("doc_id").over(per)}).where("p is not null or q is not null or part is not null")
+    shared = saved(shared.select(F.col("sig").alias("key"), "part", "code", "doc_id"), "buckets")
+    links = _links(_tries(shared), reps, docs, width)
     comp = small_or_not(components(links).withColumnRenamed("node", "doc_id"))
     placed = lambda df: df.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     span = placed(shared).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -233,6 +256,7 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     members = saved(placed(members.join(reps.select("doc_id", "mini"), "doc_id")), "members")
     pairs = saved(_open_pairs(members), "open")
     more = _links(pairs, reps, docs, width)
+    forget(shared, mixed, members, pairs)
     return membership, links.union(more), reps
 
 

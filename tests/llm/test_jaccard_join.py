@@ -8,6 +8,7 @@ import string
 import numpy as np
 import pytest
 
+from tallyline.llm import common
 from tallyline.llm import jaccard_join as J
 from tallyline.llm.partenum import signatures
 
@@ -36,15 +37,28 @@ def expected(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("hot", [32, 2])
-def test_equals_brute_force(docs, corpus, hot, monkeypatch):
-    """Also with every bucket of more than two hot, so that the prefix filter decides."""
+@pytest.mark.parametrize("hot, split, broadcast", [(32, False, True), (2, False, True), (2, True, False), (32, True, True)])
+def test_equals_brute_force(docs, corpus, hot, split, broadcast, monkeypatch):
+    """Also with every bucket of more than two hot, so that the prefix filter decides; with buckets split into groups of two; and without broadcasts."""
     monkeypatch.setattr(J, "SMALL_BUCKET", hot)
+    if split:
+        monkeypatch.setattr(J, "SAMPLED", 1)
+        monkeypatch.setattr(J, "HOT", 3)
+        monkeypatch.setattr(J, "GROUP", 2)
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     got = J.near_duplicates(docs).collect()
     assert len(got) == len(corpus)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected(corpus)
 
 
+def test_contract_columns(spark):
+    got = J.op10_ngram_jaccard_join(spark, "/root/testdata/sf0.001")
+    assert got.dtypes[:3] == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == expected(rows)
+
+
 def test_empty_table(nothing):
     assert J.near_duplicates(nothing).count() == 0
 
