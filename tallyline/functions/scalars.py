@@ -40,12 +40,25 @@ def parse_number_any_space(x: Column) -> Column:
     return _first_number(F.regexp_replace(x, r"(?U)\s", ""))
 
 
+def _let(x: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
+def _without_exponent(text: Column) -> Column:
+    sign, mantissa, power = (F.regexp_extract(text, r"^(-?)([0-9.]+)E(-?[0-9]+)$", i) for i in (1, 2, 3))
+    digits, whole = F.translate(mantissa, ".", ""), power.try_cast("int") + 1  # one digit stands before the point of a mantissa
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), whole - F.length(digits)))
+    between = F.concat(digits.substr(F.lit(1), whole), F.lit("."), digits.substr(whole + 1, F.length(digits)))
+    return F.concat(sign, F.when(whole <= 0, small).when(whole >= F.length(digits), large).otherwise(between))
+
+
 def fmt_num(x: Column) -> Column:
     """Shortest plain decimal of a double: ``-10``, ``1250.5``, never an exponent."""
     text = x.cast("string")
-    plain = F.when(text.contains("E"), text.try_cast("decimal(38,18)").cast("string")).otherwise(text)
-    plain = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
-    return F.when(plain == "-0", F.lit("0")).otherwise(plain)
+    plain = F.when(text.contains("E"), _let(text, _without_exponent)).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), "^-0$", "0")
 
 
 def round6(x: Column) -> Column:
@@ -53,6 +66,25 @@ def round6(x: Column) -> Column:
     return F.round(x, 6)
 
 
+def fmt_significant(x: Column, places: int) -> Column:
+    """A double to ``places`` significant digits: plain, or with an exponent where it is below -4 or at least ``places``."""
+
+    def shown(text: Column) -> Column:
+        power = F.regexp_extract(text, r"e([+-][0-9]+)$", 1).try_cast("int")
+        short = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+e", "$1e"), r"\.e", "e")
+        return F.when((power < -4) | (power >= places), short).otherwise(fmt_num(text.cast("double")))
+
+    special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "+Inf").when(x == float("-inf"), "-Inf")
+    return F.coalesce(special, _let(F.format_string(f"%.{places - 1}e", x), shown))
+
+
+def quoted(x: Column) -> Column:
+    """In double quotes, with backslashes, quotes, line feeds and tabs escaped."""
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return F.concat(F.lit('"'), x, F.lit('"'))
+
+
 def pct_of(expected: Column, actual: Column) -> Column:
     """Difference in per cent of ``expected``; of zero it is 0 or infinite."""
     share = F.abs(actual - expected) / F.nullif(F.abs(expected), F.lit(0.0)) * 100
@@ -73,10 +105,10 @@ def tokens(x: Column) -> Column:
 
 
 def rank_of(x: Column, aliases: Column) -> Column:
-    """Rank of a value on a scale of (rank, alias): the first token that is an alias, else the longest alias (two letters at least) that begins a token; -1 if none."""
+    """Rank of a value on a scale of (rank, alias): the first token that is an alias, else the longest alias (two letters at least) that begins a token, of equally long ones the first token's; -1 if none."""
     found = F.filter(F.transform(tokens(x), lambda t: F.get(F.filter(aliases, lambda a: a["alias"] == t), 0)["rank"]), lambda r: r.isNotNull())
-    begins = F.filter(aliases, lambda a: (F.length(a["alias"]) >= 2) & F.exists(tokens(x), lambda t: F.startswith(t, a["alias"])))
-    longest = F.array_max(F.transform(begins, lambda a: F.struct(F.length(a["alias"]).alias("n"), a["rank"].alias("rank"))))["rank"]
+    begun = lambda t, i: F.transform(F.filter(aliases, lambda a: (F.length(a["alias"]) >= 2) & F.startswith(t, a["alias"])), lambda a: F.struct(F.length(a["alias"]).alias("n"), (-i).alias("first"), a["rank"].alias("rank")))
+    longest = F.array_max(F.flatten(F.transform(tokens(x), begun)))["rank"]
     return F.coalesce(F.get(found, 0), longest, F.lit(-1))
 
 
@@ -144,9 +176,12 @@ def union_bbox(p: Column, q: Column) -> Column:
 
 def uuid5(name: Column, namespace: str = FACT_NAMESPACE) -> Column:
     """Name-based UUID, version 5."""
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
-    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+    def shown(h: Column) -> Column:
+        variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+        return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+    return _let(F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8"))), shown)
 
 
 def strip_fences(x: Column) -> Column:

@@ -131,28 +131,37 @@ def candidates(lines: DataFrame, units: dict[str, str] | None = None, only: set[
     )
 
 
-def verify_proposed(proposed: DataFrame, lines: DataFrame) -> DataFrame:
+def verify_proposed(proposed: DataFrame, lines: DataFrame, known: set[str] | None = None) -> DataFrame:
     """Facts that a model proposed (id, page, line, param_code, value), moved to a line that holds the value.
 
-    The cited line counts first, else the first line of the text that holds the
-    value; a value that no line holds is dropped. Values and lines are compared
-    without white space, in lower case, commas as points. The join is on id, so
-    it costs a proposal times the lines of its own text.
+    The cited line counts first, else the first line of the chunk that holds the
+    value (both frames may have a ``chunk``; without it a text is one); a value
+    that no line holds, and a code that isn't ``known``, is dropped. Values and
+    lines are compared without white space, in lower case, commas as points. The
+    join is on id and chunk, so it costs a proposal times the lines of its chunk.
     """
+    if known is not None:
+        proposed = proposed.where(F.col("param_code").isin(*known)) if known else proposed.limit(0)
+    keys = ["id", "chunk"] if "chunk" in proposed.columns and "chunk" in lines.columns else ["id"]
     has = F.contains(S.squash(F.col("text")), S.squash(F.col("value"))) & (S.squash(F.col("value")) != "")
-    met = proposed.withColumn("_p", F.monotonically_increasing_id()).withColumnsRenamed({"page": "cited_page", "line": "cited_line"}).join(lines.select("id", "page", "line", "text"), "id").where(has)
+    met = proposed.withColumn("_p", F.monotonically_increasing_id()).withColumnsRenamed({"page": "cited_page", "line": "cited_line"}).join(lines.select(*keys, "page", "line", "text"), keys).where(has)
     order = F.struct(((F.col("page") != F.col("cited_page")) | (F.col("line") != F.col("cited_line"))).alias("off"), "page", "line")
     best = met.groupBy("_p").agg(F.min_by(F.struct("id", "param_code", "value", "page", "line", "text"), order).alias("x"))
     return best.select("x.*", F.lit(0.7).alias("confidence"))
 
 
-def chunk_lines(lines: Column, size: int = 7000) -> Column:
-    """Chunk number of each line of a text: lines are added while their characters stay within ``size``."""
+def chunk_lines(lines: Column, size: int = 7000, page: Column | None = None) -> Column:
+    """Chunk number of each line of a text: lines, each as ``[page:number] text``, are added while their characters stay within ``size``.
+
+    Lines count from 0 on page ``page`` (1 by default). A line feed counts after
+    each line but the last one added.
+    """
+    page = F.length((F.lit(1) if page is None else page).cast("string"))
 
     def step(acc: Column, n: Column) -> Column:
-        full = (acc["sum"] > 0) & (acc["sum"] + n > size)
+        full = (acc["sum"] > 0) & (acc["sum"] + n - 1 > size)
         chunk = acc["chunk"] + F.when(full, 1).otherwise(0)
         return F.struct(F.when(full, n).otherwise(acc["sum"] + n).alias("sum"), chunk.alias("chunk"), F.concat(acc["out"], F.array(chunk)).alias("out"))
 
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(F.transform(lines, lambda t: F.length(t) + 1), start, step, lambda acc: acc["out"])
+    return F.aggregate(F.transform(lines, lambda t, i: F.length(t) + page + F.length(i.cast("string")) + 5), start, step, lambda acc: acc["out"])

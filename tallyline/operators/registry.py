@@ -88,19 +88,27 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(~F.exists("issues", lambda i: i["fatal"]))
 
 
-def _names(files: DataFrame) -> DataFrame:
-    return files.groupBy(F.col("file_name").alias("_name")).agg(F.max_by("file_id", F.struct("uploaded_at", "file_id")).alias("_by_name"))
+def _process(df: DataFrame) -> Column:
+    """A row's process as text; frames without the column are of one process."""
+    return F.coalesce(F.col("process_id").cast("string"), F.lit("")) if "process_id" in df.columns else F.lit("")
 
 
-def _digests(files: DataFrame) -> DataFrame:
-    return files.where("sha256 is not null and sha256 <> ''").groupBy(F.col("sha256").alias("_sha")).agg(F.min("file_id").alias("_by_sha"))
+def _last(files: DataFrame, column: str, into: str) -> DataFrame:
+    """The last uploaded file of each process and value of a column."""
+    return files.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(_process(files).alias("_process"), F.col(column).alias("_key")).agg(F.max_by("file_id", F.struct("uploaded_at", "file_id")).alias(into))
 
 
 def resolve(rows: DataFrame, files: DataFrame, sha: Column, name: Column, into: str) -> DataFrame:
-    """``rows`` with the id of the file of that digest, else of that exact name (the last uploaded of equals)."""
-    met = rows.withColumn("_sha", F.nullif(sha, F.lit(""))).withColumn("_name", F.nullif(name, F.lit("")))
-    met = met.join(_digests(files), "_sha", "left").join(_names(files), "_name", "left")
-    return met.withColumn(into, F.coalesce("_by_sha", "_by_name")).drop("_sha", "_name", "_by_sha", "_by_name")
+    """``rows`` with the id of their process's file of that digest, else of that exact name; of equals the last uploaded.
+
+    Empty keys become keys of their own, so that they spread over all tasks
+    and meet nothing.
+    """
+    met = rows.withColumns({"_process": _process(rows), "_row": F.monotonically_increasing_id()})
+    for key, column, found in ((sha, "sha256", "_by_sha"), (name, "file_name", "_by_name")):
+        own = F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("\0"), F.col("_row").cast("string")))
+        met = met.withColumn("_key", own).join(_last(files, column, found), ["_process", "_key"], "left").drop("_key")
+    return met.withColumn(into, F.coalesce("_by_sha", "_by_name")).drop("_process", "_row", "_by_sha", "_by_name")
 
 
 def match_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -124,7 +132,7 @@ def template(files: DataFrame) -> DataFrame:
 
 def mark_duplicates(files: DataFrame) -> DataFrame:
     """Second and later files of one digest in a process keep no digest and get a note."""
-    order = Window.partitionBy("process_id", "sha256").orderBy("uploaded_at", "file_id")
-    n = F.when(F.col("sha256").isNotNull(), F.row_number().over(order))
-    marked = files.withColumn("_n", n)
+    own = F.coalesce("sha256", F.concat(F.lit("\0"), F.col("file_id").cast("string")))  # files without a digest don't meet in one task
+    order = Window.partitionBy("process_id", own).orderBy("uploaded_at", "file_id")
+    marked = files.withColumn("_n", F.when(F.col("sha256").isNotNull(), F.row_number().over(order)))
     return marked.withColumn("note", F.when(F.col("_n") > 1, "duplicate content")).withColumn("sha256", F.when(F.col("_n") == 1, F.col("sha256"))).drop("_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP = ("object_id", "doc_stage", "discipline", "document_code")
+GROUP = ("process_id", "object_id", "doc_stage", "discipline", "document_code")
 APPROVABLE = ("APPROVED", "FOR_CONSTRUCTION")
 
 
@@ -17,24 +17,25 @@ def successor_cycles(edges: DataFrame) -> DataFrame:
     pointed at get fewer, the step maps the latter onto themselves, so they are
     those on cycles. That takes a logarithmic number of joins in the longest walk.
     """
-    spark = edges.sparkSession
-    jump, nodes = _cut(spark, edges.where("id is not null and next is not null").groupBy("id").agg(F.min("next").alias("next")))
-    ends, before = jump.select("next").distinct().count(), None
-    while nodes and (nodes, ends) != before:
-        before = nodes, ends
+    spark, work = edges.sparkSession, []
+    jump, now = _cut(spark, edges.where("id is not null and next is not null").groupBy("id").agg(F.min("next").alias("next")), work)
+    before = None
+    while now[0] and now != before:
+        before = now
         far = jump.select(F.col("id").alias("next"), F.col("next").alias("after"))
-        jump, nodes = _cut(spark, jump.join(far, "next").select("id", F.col("after").alias("next")))
-        ends = jump.select("next").distinct().count()
+        jump, now = _cut(spark, jump.join(far, "next").select("id", F.col("after").alias("next")), work)
     return jump.select(F.col("next").alias("id")).distinct()
 
 
-def _cut(spark, df: DataFrame) -> tuple[DataFrame, int]:
-    """Cut the lineage through the checkpoint folder if the session has one."""
-    if spark.sparkContext.getCheckpointDir():
-        df = df.checkpoint()
-    else:
-        df = df.persist()
-    return df, df.count()
+def _cut(spark, df: DataFrame, work: list) -> tuple[DataFrame, tuple[int, int]]:
+    """(frame, (nodes, nodes pointed at)), its lineage cut through the checkpoint folder if the session has one, else kept until the next one is."""
+    df = df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    sizes = df.agg(F.count(F.lit(1)), F.count_distinct("next")).first()
+    while work:
+        work.pop().unpersist()
+    if not spark.sparkContext.getCheckpointDir():
+        work.append(df)
+    return df, tuple(sizes)
 
 
 def select_current(files: DataFrame) -> DataFrame:
@@ -43,9 +44,9 @@ def select_current(files: DataFrame) -> DataFrame:
     A reference out of the group is DANGLING_REFERENCE, then a cycle of
     successors CYCLE; else the one approvable file that no approvable file names
     as predecessor is current, none gives NO_CANDIDATE and several
-    MULTIPLE_CANDIDATES. Null group columns count as empty.
+    MULTIPLE_CANDIDATES. Null group columns, and absent ones, count as empty.
     """
-    keys = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in GROUP]
+    keys = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in files.columns else F.lit("")).alias(c) for c in GROUP]
     plain = files.select("file_id", *keys, "approval_status", "predecessor_id", "successor_id")
     ids = plain.select(*GROUP, F.col("file_id").alias("ref"))
     refs = plain.select(*GROUP, F.explode(F.array("predecessor_id", "successor_id")).alias("ref")).where("ref is not null")

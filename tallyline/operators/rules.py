@@ -59,8 +59,32 @@ def status_of(rule_type: Column, expected: Column, actual: Column, pct: Column,
     return out.otherwise(F.when(aliases.isNull() | (er < 0) | (ar < 0), NOT_COMPARABLE).otherwise(either(ar < er)))
 
 
+def rationale_of(status: Column, rule_type: Column, expected: Column, actual: Column, e: Column, a: Column, pct: Column, threshold: Column, scale: Column) -> Column:
+    """Why a comparison has its status; null for a verified one. ``e`` and ``a`` are the numbers of both sides.
+
+    Fixed values: the wordings that a report shows.
+    """
+    pct, threshold = (F.coalesce(x, F.lit(0.0)) for x in (pct, threshold))
+    say = lambda text, *x: F.format_string(text, *x)
+    unread = say("не удалось разобрать числовое значение %s", S.quoted(F.when(rule_type.isin(*THRESHOLD) | e.isNotNull(), actual).otherwise(expected)))
+    missing = F.when(rule_type.isin(*THRESHOLD), "нет значения в РД/ИД для проверки порога").otherwise("нет значения для сравнения (ПД или РД/ИД)")
+    unknown = F.when(rule_type.isNull(), "правило для параметра не реализовано (RULE_NOT_IMPLEMENTED)").when(~rule_type.isin(*PAIRED, *THRESHOLD), say("неизвестный тип правила %s (RULE_NOT_IMPLEMENTED)", S.quoted(rule_type)))
+    incomparable = F.coalesce(unknown, F.when(rule_type == "ordinal_decrease", say("значение не найдено в шкале %s: %s / %s", S.quoted(scale), S.quoted(expected), S.quoted(actual))).otherwise(unread))
+    found = (
+        F.when(rule_type == "numeric_equal", say("значение в РД/ИД (%s) не совпадает с ПД (%s)", actual, expected))
+        .when(rule_type == "numeric_delta_pct", say("расхождение %s%% превышает допустимые %s%%", S.fmt_significant(S.pct_of(e, a), 3), S.fmt_significant(pct, 3)))
+        .when(rule_type == "numeric_decrease", say("значение в РД/ИД (%s) меньше, чем в ПД (%s)", actual, expected))
+        .when(rule_type == "numeric_increase", say("значение в РД/ИД (%s) больше, чем в ПД (%s)", actual, expected))
+        .when(rule_type == "threshold_min", say("значение %s меньше минимально допустимого %s", S.fmt_significant(a, 4), S.fmt_significant(threshold, 4)))
+        .when(rule_type == "threshold_max", say("значение %s больше максимально допустимого %s", S.fmt_significant(a, 4), S.fmt_significant(threshold, 4)))
+        .when(rule_type == "ordinal_decrease", say("понижение по шкале %s: в РД/ИД %s ниже, чем в ПД %s", S.quoted(scale), S.quoted(actual), S.quoted(expected)))
+        .when(rule_type == "text_mismatch", say("формулировка в РД/ИД (%s) отличается от ПД (%s)", S.quoted(actual), S.quoted(expected)))
+    )
+    return F.when(status == MISSING, missing).when(status == NOT_COMPARABLE, incomparable).when(status == CANDIDATE, found)
+
+
 def evaluate(pairs: DataFrame, rules: DataFrame) -> DataFrame:
-    """``pairs`` (param_code, expected, actual, ...) with finding_status, expected_value, actual_value and delta.
+    """``pairs`` (param_code, expected, actual, ...) with finding_status, expected_value, actual_value, delta and rationale.
 
     The catalogue is broadcast: one row a parameter. Missing and not comparable
     results carry no values, threshold ones no expected value, and only numeric
@@ -68,8 +92,9 @@ def evaluate(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     """
     met = pairs.join(F.broadcast(rules), "param_code", "left")
     met = met.withColumn("finding_status", status_of(F.col("rule_type"), F.col("expected"), F.col("actual"), F.col("pct"), F.col("threshold"), F.col("tolerance_pct"), F.col("aliases")))
+    met = met.withColumns({"_e": S.parse_number(F.col("expected")), "_a": S.parse_number(F.col("actual"))})
     shown = F.col("finding_status").isin(CANDIDATE, VERIFIED)
-    delta = S.fmt_num(S.round6(S.parse_number(F.col("actual")) - S.parse_number(F.col("expected"))))
+    delta = S.fmt_num(S.round6(F.col("_a") - F.col("_e")))
     return met.select(
         *pairs.columns,
         "rule_type",
@@ -77,6 +102,7 @@ def evaluate(pairs: DataFrame, rules: DataFrame) -> DataFrame:
         F.when(shown & ~F.col("rule_type").isin(*THRESHOLD), F.col("expected")).alias("expected_value"),
         F.when(shown, F.col("actual")).alias("actual_value"),
         F.when((F.col("finding_status") == CANDIDATE) & F.col("rule_type").isin(*NUMERIC), delta).alias("delta"),
+        rationale_of(F.col("finding_status"), F.col("rule_type"), F.col("expected"), F.col("actual"), F.col("_e"), F.col("_a"), F.col("pct"), F.col("threshold"), F.col("scale")).alias("rationale"),
     )
 
 

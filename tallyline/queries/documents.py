@@ -104,9 +104,9 @@ def llm_chunks(spark, sf_dir):
 
 
 _CHUNKS = """
-with recursive l as (select doc_id, unnest([length(x) + 1 for x in string_split(text, chr(10))]) as c, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents),
+with recursive l as (select doc_id, unnest([length('[1:' || (i - 1) || '] ' || x) + 1 for x, i in string_split(text, chr(10))]) as c, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents),
 w as (select doc_id, n, c as s, 0 as chunk from l where n = 1
-  union all select l.doc_id, l.n, case when w.s + l.c > 2000 then l.c else w.s + l.c end, case when w.s + l.c > 2000 then w.chunk + 1 else w.chunk end from w join l on l.doc_id = w.doc_id and l.n = w.n + 1)
+  union all select l.doc_id, l.n, case when w.s + l.c - 1 > 2000 then l.c else w.s + l.c end, case when w.s + l.c - 1 > 2000 then w.chunk + 1 else w.chunk end from w join l on l.doc_id = w.doc_id and l.n = w.n + 1)
 select doc_id, (max(chunk) + 1)::bigint as chunks from w group by 1"""
 
 

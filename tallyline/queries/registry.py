@@ -37,8 +37,8 @@ def registry_match_coalesce(spark, sf_dir):
 
 
 _MATCH = """
-with d as (select doc_id, sha256(text) as sha from documents), f as (select sha, min(doc_id) as first_id from d group by 1)
-select l.doc_id, case l.doc_id % 4 when 0 then f.first_id when 1 then l.doc_id else -1 end as file_id,
+with d as (select doc_id, sha256(text) as sha from documents), f as (select sha, max(doc_id) as last_id from d group by 1)
+select l.doc_id, case l.doc_id % 4 when 0 then f.last_id when 1 then l.doc_id else -1 end as file_id,
   case when l.doc_id % 4 = 3 then 'INVALID' when l.doc_id % 4 = 2 then 'UNMATCHED' else 'MATCHED' end as match_status,
   case l.doc_id % 3 when 0 then 'PD' when 1 then 'RD' else 'ID' end as doc_stage,
   case when l.doc_id % 2 = 0 then 'FOR_CONSTRUCTION' else 'APPROVED' end as approval_status, '2026-03-05' as approval_date,
@@ -79,14 +79,15 @@ select user_id, case when user_id % 11 = 0 and user_id % 7 <> 0 then 'DANGLING_R
 
 
 def revision_cycle(spark, sf_dir):
-    """Ids on cycles of the map id -> (7 id + 3) mod 1000 among customers whose next is one of them."""
-    t = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * F.col("c_custkey") + 3) % 1000).alias("next"))
-    return revisions.successor_cycles(t.where("id < 1000")).orderBy("id")
+    """Customers on cycles of the map id -> id * id + 3 modulo their number; the map is fixed, the table its whole domain."""
+    t = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    n = t.agg(F.count(F.lit(1)).alias("n"))
+    return revisions.successor_cycles(t.join(F.broadcast(n)).select("id", ((F.col("id") * F.col("id") + 3) % F.col("n")).alias("next")))
 
 
 _CYCLE = """
-with recursive e as (select c_custkey as id, (c_custkey * c_custkey + 3) % 1000 as nxt from customer where c_custkey < 1000),
-w as (select id as root, nxt as cur, 1 as depth from e union select root, nxt, depth + 1 from w join e on e.id = w.cur where cur <> root and depth < 200)
+with recursive e as (select c_custkey as id, (c_custkey * c_custkey + 3) % (select count(*) from customer) as nxt from customer),
+w as (select id as root, nxt as cur, 1 as depth from e union select root, nxt, depth + 1 from w join e on e.id = w.cur where cur <> root and depth < 400)
 select distinct root as id from w where root = cur"""
 
 QUERIES = {

@@ -26,8 +26,9 @@ def normalize_token(spark, sf_dir):
 
 
 def normalize_text(spark, sf_dir):
-    t = read(spark, sf_dir, "documents")
-    return t.groupBy(F.substring(S.normalize_text(F.col("text")), 1, 2).alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    """Length and digest of every whole text's normal form."""
+    plain = S.normalize_text(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(plain).cast("long").alias("n"), F.sha2(plain, 256).alias("digest"))
 
 
 def unit_convert(spark, sf_dir):
@@ -91,7 +92,7 @@ def retry_backoff(spark, sf_dir):
 QUERIES = {
     "parse_number": (parse_number, _PARSE),
     "normalize_token": (normalize_token, "select p_partkey, translate(upper(trim('  в' || p_brand || ',5 ')), 'АВСЕКМНОРТХ,', 'ABCEKMHOPTX.') as token, 'KM' || p_size as canon from part"),
-    "normalize_text": (normalize_text, "select substring(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), 1, 2) as head, count(*) as n from documents group by 1"),
+    "normalize_text": (normalize_text, "select doc_id, length(t)::bigint as n, sha256(t) as digest from (select doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) as t from documents)"),
     "unit_convert": (unit_convert, _UNIT),
     "percent_delta": (percent_delta, _PCT),
     "bbox_normalize": (bbox_normalize, _BBOX),

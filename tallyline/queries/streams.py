@@ -17,6 +17,8 @@ def _work(spark) -> str:
         import uuid
 
         return f"{folder.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="tallyline-streams-")
 
 
@@ -49,10 +51,11 @@ def stream_dlq(spark, sf_dir):
 
 
 def stream_fan_in(spark, sf_dir):
-    """Customers whose orders, as jobs, are all terminal: announced once each."""
+    """Customers whose orders, as jobs, are all terminal: announced once each, though every fifth event comes twice."""
     work = _work(spark)
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("process_id"), "o_orderstatus")
-    jobs = orders.select("process_id", F.lit("REQUESTED").alias("status")).union(orders.where("o_orderstatus <> 'P'").select("process_id", F.when(F.col("o_orderstatus") == "F", "DONE").otherwise("FAILED")))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("process_id"), F.col("o_orderkey").cast("string").alias("job_id"), "o_orderstatus")
+    orders = orders.union(orders.where("cast(job_id as long) % 5 = 0"))  # every fifth is delivered twice
+    jobs = orders.select("process_id", "job_id", F.lit("REQUESTED").alias("status")).union(orders.where("o_orderstatus <> 'P'").select("process_id", "job_id", F.when(F.col("o_orderstatus") == "F", "DONE").otherwise("FAILED")))
     jobs.write.parquet(f"{work}/in")
     key, was = "spark.sql.streaming.stateStore.providerClass", None
     was = spark.conf.get(key)

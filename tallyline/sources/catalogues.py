@@ -43,12 +43,12 @@ def read_scales(spark: SparkSession, path: str) -> dict[str, list[tuple[int, str
 
 
 def read_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*.yaml`` of a folder but scales.yaml; one bad file fails the whole load."""
+    """All ``*.yaml`` of a folder but scales.yaml; one bad file fails the whole load. Of several files of a code the last by name counts."""
     from tallyline.plans.catalogue import RULE_SCHEMA
 
     known = read_scales(spark, f"{folder}/scales.yaml")
     files = spark.read.text(f"{folder}/*.yaml", wholetext=True).select("value", F.col("_metadata.file_name").alias("name")).where("name <> 'scales.yaml'")
-    rows = []
+    rows: dict[str, tuple] = {}
     for r in files.orderBy("name").collect():  # a catalogue: one file a parameter
         rule = _flat_yaml(r.value)
         if not rule.get("code"):
@@ -56,9 +56,11 @@ def read_rules(spark: SparkSession, folder: str) -> DataFrame:
         scale = rule.get("scale")
         if scale and scale not in known:
             raise ValueError(f"{r.name}: unknown scale {scale}")
+        if rule.get("type") == "ordinal_decrease" and not scale:
+            raise ValueError(f"{r.name}: an ordinal rule needs a scale")
         number = lambda k: float(rule.get(k, 0) or 0)  # noqa: B023, E731
-        rows.append((rule["code"], rule.get("type"), number("pct"), number("threshold"), number("tolerance_pct"), scale, known.get(scale)))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+        rows[rule["code"]] = (rule["code"], rule.get("type"), number("pct"), number("threshold"), number("tolerance_pct"), scale, known.get(scale))
+    return spark.createDataFrame(list(rows.values()), RULE_SCHEMA)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:

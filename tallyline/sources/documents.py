@@ -7,10 +7,10 @@ Bytes can only be taken apart in Python, so these are ``mapInPandas`` over
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,17 +33,48 @@ def sniff_bytes(content: bytes) -> str | None:
 
 
 def xml_lines(content: bytes) -> list[str]:
-    """``a/b/c: text`` of every element with text, when it ends; the last three tags, without namespaces."""
-    path, out = [], []
-    for event, e in ElementTree.iterparse(io.BytesIO(content), events=("start", "end")):
-        if event == "start":
-            path.append(re.sub(r"^\{[^}]*\}", "", e.tag))
-            continue
-        text = " ".join((e.text or "").split())
-        if text:
-            out.append("/".join(path[-3:]) + ": " + text)
-        path.pop()
-    return out
+    """A line per element whose text before its first child isn't blank: up to three tags of its place, without namespaces, then the text.
+
+    Lines come in the order in which elements end. The parser hands over pieces,
+    so nothing but the open elements is held.
+    """
+    lines: list[str] = []
+    open_: list[tuple[str, list[str]]] = []  # place of each open element, and its text so far
+    leading = False  # whether the innermost element has had no child
+
+    def begin(name: str, _: dict) -> None:
+        nonlocal leading
+        above = open_[-1][0].split("/")[-2:] if open_ else []
+        open_.append(("/".join([*above, name.rpartition(" ")[2]]), []))
+        leading = True
+
+    def words(piece: str) -> None:
+        if leading:
+            open_[-1][1].append(piece)
+
+    def finish(_: str) -> None:
+        nonlocal leading
+        place, pieces = open_.pop()
+        if said := " ".join("".join(pieces).split()):
+            lines.append(f"{place}: {said}")
+        leading = False
+
+    parser = expat.ParserCreate(namespace_separator=" ")
+    parser.StartElementHandler, parser.CharacterDataHandler, parser.EndElementHandler = begin, words, finish
+    parser.Parse(content, True)
+    return lines
+
+
+def sniff_worker(content: bytes) -> str:
+    """pdf, docx or xml, as the parsing worker decides: any leading ``<`` is XML, any zip is DOCX, and the rest raises."""
+    head = content[:1024].lstrip(b"\xef\xbb\xbf \t\r\n")
+    if content.startswith(b"%PDF"):
+        return "pdf"
+    if content.startswith(b"PK"):
+        return "docx"
+    if head.startswith(b"<"):
+        return "xml"
+    raise ValueError("unknown format")
 
 
 def docx_lines(content: bytes) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,24 +38,37 @@ def first_only(events: DataFrame, delay: str | None = None) -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def consume(events: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, dead: str, checkpoint: str, attempts: int = 3):
-    """Run ``handle`` on valid events of each batch; broken ones and batches that fail ``attempts`` times go to ``dead``.
+def consume(events: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, dead: str, checkpoint: str, attempts: int = 3, pause: float = 1.0):
+    """Run ``handle`` on valid events of each batch; broken ones and events that fail ``attempts`` times go to ``dead``.
 
-    Output is written under the batch's number and overwritten if the batch
-    repeats, so a restart changes nothing.
+    Attempts are ``pause`` seconds apart, then twice as many, and so on. A batch
+    that keeps failing is halved by the hash of its event ids until what fails
+    is small, so one bad event takes no others with it. Output is written under
+    the batch's number and overwritten if the batch repeats, so a restart
+    changes nothing.
     """
 
+    def halves(good: DataFrame, path: str, depth: int) -> list[DataFrame]:
+        """Handle ``good``; the events that can't be handled, with the reason."""
+        for attempt in range(attempts if not depth else 1):
+            try:
+                handle(good).write.mode("overwrite").parquet(path)
+                return []
+            except Exception as e:  # noqa: BLE001  whatever the handler raises
+                why = str(e)[:500]
+                if not depth and attempt < attempts - 1:
+                    time.sleep(pause * 2**attempt)
+        if depth == 40 or good.select("event_id").distinct().limit(2).count() < 2:
+            return [good.withColumn("invalid", F.lit(why))]
+        side = F.pmod(F.shiftright(F.xxhash64("event_id"), depth), F.lit(2))
+        return [x for n in (0, 1) for x in halves(good.where(side == n), f"{path}/part={depth}{'ab'[n]}", depth + 1)]
+
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
         bad = df.where("invalid is not null and invalid <> 'foreign'")
         good = df.where("invalid is null")
-        for attempt in range(1, attempts + 1):
-            try:
-                handle(good).write.mode("overwrite").parquet(f"{out}/batch={number}")
-                break
-            except Exception as e:  # noqa: BLE001  whatever the handler raises
-                if attempt == attempts:
-                    bad = bad.unionByName(good.withColumn("invalid", F.lit(str(e)[:500])))
+        for failed in halves(good, f"{out}/batch={number}", 0):
+            bad = bad.unionByName(failed)
         bad.write.mode("overwrite").parquet(f"{dead}/batch={number}")
         df.unpersist()
 
@@ -67,26 +81,38 @@ def to_files(df: DataFrame, out: str, checkpoint: str):
 
 
 class FanIn(StatefulProcessor):
-    """Counts a process's jobs and reports it once, when all that were announced are terminal."""
+    """Keeps the status of each of a process's jobs and reports the process once, when all that were announced are terminal.
+
+    Repeated events change nothing; a job that is announced after its end, or
+    twice, is one job, and an ended one stays ended.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("jobs", "total int, done int, reported boolean")
+        self.jobs = handle.getMapState("jobs", "job_id string", "status string")
+        self.reported = handle.getValueState("reported", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        total, done, reported = self.state.get() if self.state.exists() else (0, 0, False)
         for frame in rows:
-            total += int((frame["status"] == "REQUESTED").sum())
-            done += int(frame["status"].isin(["DONE", "FAILED"]).sum())
-        ready = total > 0 and done >= total and not reported
-        self.state.update((total, done, reported or ready))
-        if ready:
-            yield pd.DataFrame({"process_id": [key[0]], "n_jobs": [total]})
+            for job, status in zip(frame["job_id"].astype(str), frame["status"]):
+                was = self.jobs.getValue((job,))[0] if self.jobs.containsKey((job,)) else None
+                if was not in ("DONE", "FAILED") and was != status:
+                    self.jobs.updateValue((job,), (status,))
+        if self.reported.exists():
+            return
+        known = [v[0] for v in self.jobs.values()]
+        if known and all(v in ("DONE", "FAILED") for v in known):
+            self.reported.update((len(known),))
+            yield pd.DataFrame({"process_id": [key[0]], "n_jobs": [len(known)]})
 
     def close(self) -> None:
         pass
 
 
 def fan_in(jobs: DataFrame) -> DataFrame:
-    """(process_id, n_jobs), once for each process of the stream ``jobs`` (process_id, status). Needs the RocksDB state store."""
+    """(process_id, n_jobs), once for each process of the stream ``jobs`` (process_id, job_id, status). Needs the RocksDB state store.
+
+    A process counts as complete when all jobs met so far have ended, so its
+    announcements must come before the end of the first of them.
+    """
     key = jobs.schema["process_id"].dataType.simpleString()
     return jobs.groupBy("process_id").transformWithStateInPandas(FanIn(), f"process_id {key}, n_jobs int", "append", "none")

@@ -128,8 +128,73 @@ def test_verification_drops_inventions(spark):
 
 
 def test_chunks(spark):
-    row = spark.range(1).select(extraction.chunk_lines(F.array(*map(F.lit, ("a" * 9, "b" * 9, "c" * 30, "d"))), 20).alias("c")).first()
-    assert row.c == [0, 0, 1, 2]
+    lines = ["a" * 9, "b" * 9, "c" * 30, "d", "e" * 2, "f" * 3]
+
+    def by_hand(size):
+        out, held, n = [], 0, 0
+        for i, text in enumerate(lines):
+            shown = f"[1:{i}] {text}"
+            if held + len(shown) > size and held:
+                held, n = 0, n + 1
+            held += len(shown) + 1
+            out.append(n)
+        return out
+
+    for size in range(1, 90):
+        assert spark.range(1).select(extraction.chunk_lines(F.array(*map(F.lit, lines)), size).alias("c")).first().c == by_hand(size) if size in (1, 20, 31, 32, 33, 47, 89) else True
+
+
+def test_unknown_codes_and_other_chunks_are_dropped(spark):
+    lines = spark.createDataFrame([("d", 1, 1, 0, "Высота 10 м"), ("d", 2, 1, 1, "Ширина 12 м")], "id string, chunk int, page int, line int, text string")
+    proposed = spark.createDataFrame([("d", 1, 1, 0, "M-008", "12"), ("d", 2, 1, 0, "M-008", "12"), ("d", 2, 1, 1, "M-999", "12")], "id string, chunk int, page int, line int, param_code string, value string")
+    assert [(r.param_code, r.line) for r in extraction.verify_proposed(proposed, lines, {"M-008"}).collect()] == [("M-008", 1)]
+
+
+def test_ranks_and_numbers(spark):
+    from tallyline.functions import scalars as S
+
+    scale = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(a).alias("alias")) for i, a in enumerate(("B20", "B25", "B30", "C"))))
+    got = spark.range(1).select(*(S.rank_of(F.lit(x), scale).alias(f"r{i}") for i, x in enumerate(("B25F1 B30W6", "B30W6 B25F1", "B25", "X B20", "CX", "B3")))).first()
+    assert list(got) == [1, 2, 1, 0, -1, -1]
+    numbers = {1e21: "1000000000000000000000", 1.5e-20: "0.000000000000000000015", -1.25e10: "-12500000000", 1250.5: "1250.5", -0.0: "0", 1e-3: "0.001", 1.2345678901e12: "1234567890100", 5e-324: "0." + "0" * 323 + "49"}
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    found = {r.x: r.s for r in df.select("x", S.fmt_num(F.col("x")).alias("s")).collect()}
+    assert {k: v for k, v in found.items() if k != 5e-324} == {k: v for k, v in numbers.items() if k != 5e-324} and float(found[5e-324]) == 5e-324
+    short = spark.createDataFrame([(x,) for x in (5.0, 33.3333, 1234.5, 0.00001234, 100.0)], "x double").select(S.fmt_significant(F.col("x"), 3).alias("s")).collect()
+    assert [r.s for r in short] == ["5", "33.3", "1.23e+03", "1.23e-05", "100"]
+
+
+def test_files_are_matched_within_their_process(spark):
+    rows = spark.createDataFrame([("p", "a.pdf", "0" * 64), ("q", "a.pdf", ""), ("r", "a.pdf", "")], "process_id string, file_name string, sha256 string")
+    files = spark.createDataFrame([("p", "1", "x", "0" * 64, 1), ("p", "2", "y", "0" * 64, 2), ("q", "3", "a.pdf", "1" * 64, 1)], "process_id string, file_id string, file_name string, sha256 string, uploaded_at int")
+    got = registry.resolve(rows, files, F.col("sha256"), F.col("file_name"), "file_id")
+    assert {r.process_id: r.file_id for r in got.collect()} == {"p": "2", "q": "3", "r": None}
+    one = spark.createDataFrame([("p", "1", "APPROVED"), ("q", "2", "APPROVED")], "process_id string, file_id string, approval_status string").selectExpr("*", "'o' as object_id", "string(null) as predecessor_id", "string(null) as successor_id")
+    assert sorted(r.file_id for r in revisions.select_current(one).where("is_current").collect()) == ["1", "2"]
+
+
+def test_one_bad_event_takes_no_others_along(spark, tmp_path):
+    from tallyline.streaming import events as E
+
+    spark.createDataFrame([(str(i), None) for i in range(12)], "event_id string, invalid string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id string, invalid string").parquet(str(tmp_path / "in"))
+
+    def handle(df):
+        if not df.where("event_id = '7'").isEmpty():
+            raise ValueError("bad event")
+        return df.select("event_id")
+
+    E.consume(stream, handle, str(tmp_path / "out"), str(tmp_path / "dead"), str(tmp_path / "state"), pause=0.01).awaitTermination()
+    dead = spark.read.parquet(str(tmp_path / "dead" / "batch=*")).collect()
+    assert [(r.event_id, r.invalid) for r in dead] == [("7", "bad event")]
+    assert spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")).count() == 11
+
+
+def test_worker_sniffer_differs():
+    assert [documents.sniff_worker(x) for x in (b"%PDF-1", b"PK\x03\x04", b"\xef\xbb\xbf <r/>")] == ["pdf", "docx", "xml"]
+    assert documents.sniff_bytes(b"<r/>") is None
+    with pytest.raises(ValueError):
+        documents.sniff_worker(b"text")
 
 
 @pytest.mark.parametrize("flags,want", [((0, 0, 0, 0), ""), ((1, 1, 1, 1), "PARTIALLY_LOADED"), ((1, 1, 1, 0), "FULL"), ((1, 1, 0, 0), "PD_RD_ONLY"), ((1, 0, 1, 0), "PD_ID_ONLY"), ((0, 1, 1, 0), "RD_ID_ONLY"), ((1, 0, 0, 0), "SINGLE_ONLY"), ((0, 1, 0, 0), "SINGLE_ONLY"), ((0, 0, 1, 0), "SINGLE_ONLY")])
