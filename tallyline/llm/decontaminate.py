@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import read_table, saved, small_or_not
+from tallyline.llm.common import read_table, saved, small_or_not, thrifty
 from tallyline.llm.vectext import U, Words, mix, span_hash, words
 
 WIDTH = 5
@@ -130,7 +130,7 @@ def template_windows(df: DataFrame, key: str, only=None) -> DataFrame:
                 if len(win):
                     yield _rows(ids[w.lo + doc], pos, win, literal, slot, dense)
 
-    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, _WINDOW)
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "text").mapInArrow(thrifty(run), _WINDOW)
 
 
 def _windows_of(w: Words, wanted, seen):

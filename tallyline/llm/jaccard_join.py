@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import forget, saved, small_or_not
+from tallyline.llm.common import forget, saved, small_or_not, thrifty
 from tallyline.llm.components import components
 from tallyline.llm.partenum import signatures
 from tallyline.llm.vectext import U, mix, shingle_sets, words
@@ -147,11 +147,11 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
     left = classes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     seen = pairs.join(left, "a").join(right, "b").where(f"na * {NUM} <= nb * {DEN} and nb * {NUM} <= na * {DEN}")
-    some = saved(seen.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, "a long, b long"), "tries")
+    some = saved(seen.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(thrifty(_sketched), "a long, b long"), "tries")
     ids = saved(some.select(F.col("a").alias("doc_id")).union(some.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    features = saved(_narrow(docs, ids, "left_semi").mapInArrow(_features(width), "doc_id long, features binary"), "features")
+    features = saved(_narrow(docs, ids, "left_semi").mapInArrow(thrifty(_features(width)), "doc_id long, features binary"), "features")
     both = some.join(features.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a").join(features.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
-    links = saved(both.select("a", "b", "fa", "fb").mapInArrow(_verified, "a long, b long"), "links")
+    links = saved(both.select("a", "b", "fa", "fb").mapInArrow(thrifty(_verified), "a long, b long"), "links")
     forget(some, ids, features)
     return links
 
@@ -229,7 +229,7 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     sets are the same; if not, they are joined under that id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    meta = saved(docs.mapInArrow(_summary(width), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, mini array<long>"), "summary")
+    meta = saved(docs.mapInArrow(thrifty(_summary(width)), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, mini array<long>"), "summary")
     full = meta.where("n_shingles > 0")
     classes = saved(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
     few = small_or_not(saved(classes.where("copies > 1").select("n_shingles", "h1", "h2", "class_id"), "few"))
@@ -239,7 +239,7 @@ def jaccard_links(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame
     spare = saved(copies.join(once, "doc_id", "left_semi").distinct(), "spare")
     reps = saved(_narrow(full.select("doc_id", "n_shingles", "sketch", "mini"), spare, "left_anti"), "reps")
     left = _narrow(docs, spare, "left_anti")
-    signed = lambda df: df.mapInArrow(_signed(width), "sig long, doc_id long, code long")
+    signed = lambda df: df.mapInArrow(thrifty(_signed(width)), "sig long, doc_id long, code long")
     rows = _grouped(signed(left), signed(left.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)))
     per = Window.partitionBy("sig", "part").orderBy("code", "doc_id")
     shared = rows.withColumns({"p": F.lag("doc_id").over(per), "q": F.lead("doc_id").over(per)}).where("p is not null or q is not null or part is not null")
@@ -266,8 +266,8 @@ def _rare_prefixes(docs: DataFrame, width: int) -> DataFrame:
     Two documents that link share one of them. A document whose shingles of its
     own alone fill its prefix is out before anything is joined.
     """
-    features = docs.mapInArrow(_features(width), "doc_id long, features binary")
-    flat = saved(features.mapInArrow(_rare, "doc_id long, feature long, n int"), "flat")
+    features = docs.mapInArrow(thrifty(_features(width)), "doc_id long, features binary")
+    flat = saved(features.mapInArrow(thrifty(_rare), "doc_id long, feature long, n int"), "flat")
     often = flat.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id"))
     own = often.where("df = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
     sizes = flat.groupBy("doc_id").agg(F.max("n").alias("n"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import read_table
+from tallyline.llm.common import read_table, thrifty
 
 #: Labelled pages that weights are fitted on, in expectation, and least words or tags that a learned name needs among them.
 SAMPLE_PAGES, LEAST = 2000, 5
@@ -189,7 +189,7 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Weights:
     labelled = pages.select("page_id", "html").where("html is not null and contains(lower(html), '<article')")
     share = min(1.0, sample / max(labelled.count(), 1))
     some = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("html")
-    counts = some.mapInArrow(_counted, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
+    counts = some.mapInArrow(thrifty(_counted), "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
     containers, tags = {}, {}
     for name, i, o in counts.where(F.col("i") + F.col("o") >= LEAST).collect():  # names of a bounded sample
         if name[0] == "/":
@@ -220,7 +220,7 @@ def extract_pages(pages: DataFrame, weights: Weights) -> DataFrame:
             found = [main_text(p, weights) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(thrifty(run), "page_id long, url string, text string, n_chars long")
 
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:

@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import pieces
-from tallyline.llm.common import read_table
+from tallyline.llm.common import read_table, thrifty
 from tallyline.llm.pieces import MARK
 from tallyline.llm.vectext import U, mix
 from tallyline.llm.vectext import texts as plain_texts
 
 #: Symbols of a word that rounds merge; longer words are merged by a heap. A symbol's place fits in ``_PLACE`` bits.
 LONG, _PLACE = 64, 6
-#: Bytes of text that are merged together.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are merged together: a worker's arrays take some hundred times as many.
+CHUNK_BYTES = 1 << 18
 #: Characters below this code have a dense table of their joins.
 _COMMON = 0x250
 _NONE = np.iinfo(np.int32).max
@@ -332,7 +332,7 @@ def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, see
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, pa.array(tokens), batch.column(2).slice(lo, hi - lo), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_chars", "lossless"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    return plain.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_chars long, lossless boolean")
+    return plain.mapInArrow(thrifty(run), "doc_id long, ids array<int>, n_tokens long, n_chars long, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -343,7 +343,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(thrifty(run), "doc_id long, text string")
 
 
 def op1_piece_codec(spark, sf_dir: str) -> DataFrame:

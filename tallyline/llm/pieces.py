@@ -12,7 +12,7 @@ Two facts let a text be cut into pre-tokens whose tokens are independent:
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -22,7 +22,6 @@ _CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 class Pieces:
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         spec = proto.ModelProto()
@@ -39,8 +38,19 @@ class Pieces:
         if any(p.type in (4, 5) for p in spec.pieces):
             raise ValueError("user-defined and unused pieces are not handled")
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == 6}
-        spec.normalizer_spec.add_dummy_prefix = False  # pre-tokens bring their own mark
-        self.plain = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
+        self.path = path
+
+    @cached_property
+    def plain(self):
+        """The library's encoder of pre-tokens, which bring their own mark; loaded where it is used."""
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        spec = proto.ModelProto()
+        with open(self.path, "rb") as f:
+            spec.ParseFromString(f.read())
+        spec.normalizer_spec.add_dummy_prefix = False
+        return sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
 
     @lru_cache(maxsize=1)
     def whole(self) -> frozenset[str]:

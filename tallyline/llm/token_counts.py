@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import pieces
-from tallyline.llm.common import read_table
+from tallyline.llm.common import read_table, thrifty
 
 #: Merged pre-tokens that a worker remembers; the table starts anew beyond it.
 REMEMBERED = 1_000_000
@@ -65,7 +65,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    return plain.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return plain.mapInArrow(thrifty(run), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import read_table, saved
+from tallyline.llm.common import read_table, saved, thrifty
 
 #: Labelled rows, in expectation, that the lexicon and the model are fitted on.
 TRAIN_ROWS = 12_000
@@ -229,7 +229,7 @@ def fit_stems(sample: DataFrame) -> dict[str, float]:
     Only prefixes that are surprising by these statistics reach the driver: at
     most a few of each toxic row of the bounded sample. None without toxic rows.
     """
-    counts = saved(sample.select("text", "toxic").mapInArrow(_counted, "stem string, bad long, good long, rows long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("rows").alias("rows")), "prefixes")
+    counts = saved(sample.select("text", "toxic").mapInArrow(thrifty(_counted), "stem string, bad long, good long, rows long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("rows").alias("rows")), "prefixes")
     words = counts.where("stem = ''").first()
     if words is None or not words.bad:
         return {}
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             x = [features(t, lexicon) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    seen = sample.mapInArrow(run, "x array<double>, y int").toPandas()
+    seen = sample.mapInArrow(thrifty(run), "x array<double>, y int").toPandas()
     y = seen["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model(stems, DEFAULT_WEIGHTS)
@@ -294,7 +294,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty(run), "doc_id long, score double")
 
 
 def op8_toxicity_grammar(spark, sf_dir: str) -> DataFrame:
@@ -312,4 +312,4 @@ def without_toxic(docs: DataFrame, model: Model, score: float = SCORE) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) < score))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
