@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import sys
 
 import corpus_pipeline as C
@@ -15,9 +16,9 @@ from test_jaccard_join import expected  # noqa: E402
 TEXT = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the dark wood tonight"
 
 
-def tables(spark, folder, docs):
+def tables(spark, folder, docs, labels=()):
     docs.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "who would ever have thought that this question leaks into the training corpus one day")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
 
@@ -26,15 +27,19 @@ def test_stages_in_order(spark, tmp_path):
         (1, TEXT), (2, TEXT.upper()), (3, TEXT + " again"), (4, "you idiot, you moron, you stupid scum. " * 6), (5, "so. who would ever have thought that this question leaks into the training corpus one day"),
         (6, "write to joe@example.com or 10.0.0.1 about the other thing that nobody else has mentioned"), (7, None), (8, ""), (8, ""), (9, "a plain text of no interest to anyone at all but itself"),
     ]
+    rng = random.Random(1)  # the grammar has no words of its own: labelled documents from 100 on teach it
+    prose = lambda: " ".join("".join(rng.choices("bcefglnopru", k=rng.randint(3, 8))) for _ in range(30))
+    taught = [(100 + i, prose() + (". you idiot, you moron, you stupid scum. " if i % 4 == 1 else ". ") + prose()) for i in range(240)]
+    rows += taught
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "b", "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, spans string, base string")
     folder = str(tmp_path)
-    tables(spark, folder, docs)
+    tables(spark, folder, docs, [(i, int(i % 4 == 1)) for i, _ in taught])
     kept, at = {}, docs
     for name, stage in C.STAGES:
         out = stage(spark, at, folder)
         out.write.parquet(f"{folder}/{name}")
         at = spark.read.parquet(f"{folder}/{name}")
-        kept[name] = sorted(r.doc_id for r in at.collect())
+        kept[name] = sorted(r.doc_id for r in at.collect() if r.doc_id < 100)
         if name != "encoding":
             assert at.columns == docs.columns
     assert kept["toxicity"] == [1, 2, 3, 5, 6, 7, 8, 8, 9]
