@@ -45,6 +45,11 @@ def protocol(findings: DataFrame, evidence: DataFrame, params: DataFrame) -> Dat
     return numbered(met.withColumn("evidence", F.coalesce("evidence", F.array().cast(parts.schema["evidence"].dataType))))
 
 
+def newest_first(rows: DataFrame, key: str, created: str = "created_at", row_id: str = "id") -> DataFrame:
+    """Rows with their place among those of their key, the newest first; of one moment the higher id."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col(created).desc_nulls_last(), F.col(row_id).desc())))
+
+
 def latest(versions: DataFrame, key: str, order: str = "version") -> DataFrame:
     """The row of the highest version of each key."""
     rows = F.struct(*[c for c in versions.columns if c != key])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyline.queries import comparison, documents, facts, lifecycle, outputs, registry, scalars, streams
+from tallyline.queries import comparison, documents, extensions, facts, lifecycle, outputs, registry, scalars, streams
 
-MODULES = (comparison, scalars, facts, outputs, documents, registry, lifecycle, streams)
+MODULES = (comparison, scalars, facts, outputs, documents, registry, lifecycle, extensions, streams)
 
 
 def all_queries() -> dict:

@@ -76,7 +76,8 @@ def write_facts(facts: DataFrame, folder: str, job: str) -> str:
     return path
 
 
-# Header cells of the matrix sheet and their columns.
+# The matrix sheet, its header cells and their columns.
+MATRIX_SHEET = "МАТРИЦА"
 MATRIX_HEADERS = {"код": "code", "code": "code", "наименование": "name", "параметр": "name", "name": "name", "ед. изм.": "unit", "единица": "unit", "unit": "unit", "приоритет": "priority", "раздел": "section"}
 
 
@@ -99,6 +100,28 @@ def matrix_params(cells: DataFrame) -> DataFrame:
     return params
 
 
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """Parameters of a workbook's matrix sheet, which is found by its name."""
+    from tallyline.sources.registries import read_cells
+
+    return matrix_params(read_cells(spark, path, MATRIX_SHEET))
+
+
+def enrich(params: DataFrame, rules: DataFrame) -> DataFrame:
+    """``params`` (code, ...) with the rule_type and scale of their rule and the data_type that follows: string without a rule.
+
+    The catalogue is broadcast: one row a parameter.
+    """
+    known = rules.select(F.col("param_code").alias("code"), "rule_type", "scale", F.lit(True).alias("_known"))
+    kind = F.when(F.col("_known").isNull() | (F.col("rule_type") == "text_mismatch"), "string").when(F.col("rule_type") == "ordinal_decrease", "ordinal").otherwise("number")
+    return params.drop("rule_type", "scale", "data_type").join(F.broadcast(known), "code", "left").withColumn("data_type", kind).drop("_known")
+
+
+def active_version(params: DataFrame) -> DataFrame:
+    """One row: the matrix_version of active parameters that is last as text, empty without any."""
+    return params.where("is_active").agg(F.coalesce(F.max("matrix_version"), F.lit("")).alias("matrix_version"))
+
+
 def matrix_json(params: DataFrame, version: str) -> DataFrame:
     """One row: the catalogue as JSON (a few hundred parameters)."""
     cols = [c for c in params.columns if c != "row"]

@@ -119,6 +119,13 @@ def read_layouts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, LAYOUT_ROW)
 
 
+def write_layouts(layouts: DataFrame, folder: str, job: str) -> str:
+    """Layout lines of a job as JSON under a fixed key, so that a repeated job overwrites its own."""
+    path = f"{folder.rstrip('/')}/layouts/job={job}"
+    layouts.write.mode("overwrite").json(path)
+    return path
+
+
 def with_digest(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256) of files, hashed where they are read."""
     files = spark.read.format("binaryFile").load(path)

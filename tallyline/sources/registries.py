@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyline.operators.registry import COLUMNS, canonical_columns
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -41,31 +43,43 @@ def _json(spark: SparkSession, path: str) -> DataFrame:
     return canonical_columns(spark.read.option("multiLine", "true").option("primitivesAsString", "true").json(path))
 
 
-def sheet_cells(content: bytes) -> list[tuple[int, int, str]]:
-    """(row, column, text) of the first sheet of an XLSX file."""
+def _sheet_file(z: zipfile.ZipFile, sheet: str | None) -> str:
+    """Where a workbook keeps the sheet of a name, without one its first sheet in the workbook's order."""
+    if "xl/workbook.xml" not in z.namelist():
+        return min((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    places = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    for entry in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+        if sheet in (None, entry.get("name")):
+            return posixpath.normpath(posixpath.join("/xl", places[entry.get(_LINK)]))[1:]
+    raise ValueError(f"no sheet {sheet}")
+
+
+def sheet_cells(content: bytes, sheet: str | None = None) -> list[tuple[int, int, str]]:
+    """(row, column, text) of a sheet of an XLSX file, the first without a name; rows and cells without a place follow the one before."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        name = min((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        out = []
-        for row in ElementTree.fromstring(z.read(name)).iter(f"{_MAIN}row"):
+        out, number = [], 0
+        for row in ElementTree.fromstring(z.read(_sheet_file(z, sheet))).iter(f"{_MAIN}row"):
+            number, column = int(row.get("r") or number + 1), 0
             for cell in row.findall(f"{_MAIN}c"):
-                letters, number = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
-                column = 0
-                for c in letters:
-                    column = column * 26 + ord(c) - 64
+                column += 1
+                if place := cell.get("r"):
+                    column = 0
+                    for c in place.rstrip("0123456789"):
+                        column = column * 26 + ord(c) - 64
                 raw = cell.findtext(f"{_MAIN}v")
                 text = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")) if cell.get("t") == "inlineStr" else shared[int(raw)] if cell.get("t") == "s" else raw
                 if text:
-                    out.append((int(number) - 1, column - 1, text))
+                    out.append((number - 1, column - 1, text))
         return out
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(row, column, value) of the first sheet; one workbook, at most the upload limit in size."""
+def read_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """(row, column, value) of a sheet, the first without a name; one workbook, at most the upload limit in size."""
     content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    return spark.createDataFrame(sheet_cells(content), "row int, column int, value string")
+    return spark.createDataFrame(sheet_cells(content, sheet), "row int, column int, value string")
 
 
 def _xlsx(spark: SparkSession, path: str) -> DataFrame:
