@@ -80,8 +80,8 @@ def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_string()) if column.type != pa.large_string() else column
 
 
-def words(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Hash the words of a string column, a half megabyte of whole rows at a time."""
+def words(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES, breaks: np.ndarray = IS_SPACE) -> Iterator[Words]:
+    """Hash the words of a string column, a half megabyte of whole rows at a time. ``breaks`` marks the bytes that no word holds."""
     column = texts(column)
     if not len(column):
         return
@@ -91,18 +91,18 @@ def words(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES) ->
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk_bytes, "right")) - 1)
-        yield _hashed(lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield _hashed(lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], breaks)
         lo = hi
 
 
-def _hashed(lo: int, hi: int, data: np.ndarray, doc_start: np.ndarray) -> Words:
+def _hashed(lo: int, hi: int, data: np.ndarray, doc_start: np.ndarray, breaks: np.ndarray = IS_SPACE) -> Words:
     n = len(data)
     rows = hi - lo
     if not n:
         none = np.zeros(0, np.int64)
         return Words(lo, hi, data, doc_start, none, none, np.zeros(0, np.uint64), none, np.zeros(rows, np.int64), np.zeros(1, np.uint64))
     power, _ = _grown(n + 1)
-    inside = ~IS_SPACE[data]
+    inside = ~breaks[data]
     cut = np.zeros(n + 1, bool)
     cut[doc_start] = True
     before = np.empty(n, bool)
