@@ -121,7 +121,7 @@ def candidates(lines: DataFrame, units: dict[str, str] | None = None, only: set[
     sure = F.when(F.col("kind") == "string", CONFIDENCE["string"]).otherwise(CONFIDENCE["number"])
     less = F.when((F.col("kind") == "number") & (F.col("unit") == "") & ~F.col("want").isin(*NO_UNIT), 0.1).otherwise(0.0)
     return each.select(
-        "id", "page", "line", "param_code", "kind",
+        "id", "page", *(["method"] if "method" in lines.columns else []), "line", "param_code", "kind",
         F.trim(F.concat_ws(" ", "value", "unit")).alias("value_raw"),
         norm.alias("value_norm"),
         F.when(F.col("kind") == "number", F.coalesce(F.nullif("want", F.lit("")), F.nullif("unit", F.lit("")))).alias("unit"),

@@ -23,6 +23,25 @@ def lines(layouts: DataFrame) -> DataFrame:
     return each.select("id", "page", "method", "line", F.col("x.now.text").alias("text"), F.col("x.now.bbox").alias("bbox"), F.col("x.then.text").alias("next_text"), F.col("x.then.bbox").alias("next_bbox"))
 
 
+def lines_of_pages(pages: DataFrame) -> DataFrame:
+    """As ``lines``, of a row a page (id, page, method, lines): what a reader of files gives. Pages without lines give none."""
+    joined = F.transform("lines", lambda x, i: F.struct(x.alias("now"), F.get(F.col("lines"), i + 1).alias("then")))
+    each = pages.select("id", "page", "method", F.posexplode(joined).alias("line", "x"))
+    return each.select("id", "page", "method", "line", F.col("x.now.text").alias("text"), F.col("x.now.bbox").alias("bbox"), F.col("x.then.text").alias("next_text"), F.col("x.then.bbox").alias("next_bbox"))
+
+
+def file_quality(pages: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, pages, chars, text_pages, ocr_pages, quality) of files from a row a page (id, page, kind, method, chars, error).
+
+    PDF pages need 30 characters to count as text, those of other kinds one. A
+    page or a file that couldn't be read counts as none.
+    """
+    read = F.col("error").isNull() & F.col("page").isNotNull()
+    text = read & (F.col("chars") >= F.when(F.col("kind") == "pdf", PAGE_CHARS).otherwise(OTHER_CHARS))
+    sums = pages.groupBy(*keys).agg(F.count_if(read).alias("pages"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.count_if(text).alias("text_pages"), F.count_if(read & (F.col("method") == "ocr")).alias("ocr_pages"))
+    return sums.withColumn("quality", quality(F.col("pages"), F.col("text_pages")))
+
+
 def quality(n_pages: Column, text_pages: Column) -> Column:
     return F.when(n_pages == 0, "FAILED").when(text_pages == 0, "ABSTAIN").when(text_pages < n_pages, "LOW_QUALITY").otherwise("OK")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyline.queries import comparison, decisions, documents, extensions, facts, lifecycle, outputs, registry, scalars, streams
+from tallyline.queries import comparison, decisions, documents, extensions, facts, files, lifecycle, outputs, registry, scalars, streams
 
-MODULES = (comparison, scalars, facts, outputs, documents, registry, lifecycle, decisions, extensions, streams)
+MODULES = (comparison, scalars, facts, outputs, documents, files, registry, lifecycle, decisions, extensions, streams)
 
 
 def all_queries() -> dict:
