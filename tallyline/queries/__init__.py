@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyline.queries import comparison, decisions, documents, extensions, facts, files, lifecycle, outputs, registry, relay, scalars, streams
+from tallyline.queries import comparison, decisions, documents, extensions, facts, files, lifecycle, outputs, recompute, registry, relay, scalars, streams
 
-MODULES = (comparison, scalars, facts, outputs, documents, files, registry, lifecycle, decisions, extensions, streams, relay)
+MODULES = (comparison, scalars, facts, outputs, documents, files, registry, lifecycle, decisions, recompute, extensions, streams, relay)
 
 
 def all_queries() -> dict:
