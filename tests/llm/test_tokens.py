@@ -26,6 +26,24 @@ def test_counts_equal_the_library(spark, corpus):
     assert all(r.over_limit == (r.n_tokens > 3) for r in got.values())
 
 
+def test_memory_of_counts_is_bounded(monkeypatch):
+    """Long words aren't kept, and short ones up to a number of bytes; counts stay right."""
+    from tallyline.llm import token_counts as T
+
+    proven = T.prove(PATH)
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    monkeypatch.setattr(T, "REMEMBERED_BYTES", 20_000)
+    table = T._tables[proven.path] = T._Counts(proven)
+    rng = random.Random(3)
+    try:
+        for size in (5, 30, 63, 64, 65, 5000):
+            text = " ".join(base64.b64encode(rng.randbytes(size)).decode() for _ in range(100))
+            assert T.count_tokens(text, proven) == len(library.encode(text))
+            assert len(table) - len(proven.whole) < 20_000 / T._ENTRY + 2 and max(map(len, table)) <= 65
+    finally:
+        del T._tables[proven.path]
+
+
 def test_counts_of_nothing(spark, nothing):
     assert token_counts(nothing, PATH).count() == 0
 
