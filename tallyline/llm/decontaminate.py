@@ -234,10 +234,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     if items.count() <= HELD_WINDOWS:
         held = np.array([r[0] for r in items.select("win").distinct().toLocalIterator()], np.int64)
         only = spark.sparkContext.broadcast(np.sort(held.view(np.uint64)))
-    hits = template_windows(docs, "doc_id", only).withColumnRenamed("id", "doc_id").drop("dense").join(
-        items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "win", F.col("slots").alias("item_slots"), F.col("dense").alias("item_dense")), "win"
-    )
-    hits = saved(hits, "hits")
+    # by its measured size; beyond the bound Spark splits the partitions of common windows where it joins them
+    known = small_or_not(items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "win", F.col("slots").alias("item_slots"), F.col("dense").alias("item_dense")))
+    hits = saved(template_windows(docs, "doc_id", only).withColumnRenamed("id", "doc_id").drop("dense").join(known, "win"), "hits")
     met = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_met"), F.countDistinct(F.when(~F.col("item_dense"), F.col("item_pos"))).alias("open_met"))
     enough = (F.col("n_met") / F.col("n_windows") >= coverage) | ((F.col("n_dense") < F.col("n_windows")) & (F.col("open_met") >= coverage * (F.col("n_windows") - F.col("n_dense"))))
     found = met.join(sizes.withColumnRenamed("id", "item_id"), "item_id").where(enough).drop("n_met", "open_met")

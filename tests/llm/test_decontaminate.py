@@ -45,6 +45,68 @@ def test_dense_windows_match_verbatim(spark):
     assert got[10, 0].n_windows == got[10, 0].n_met == 2 and got[16, 3].n_windows == 14
 
 
+def brute(docs, items, coverage):
+    """Items of words without slots but numbers: every placing of an item over a document, word by word."""
+    import re
+
+    cut = lambda t: re.findall(r"[a-z]+|[0-9]+", t)
+    found = {}
+    for d, text in docs:
+        w = cut(text)
+        for i, item in items:
+            v = cut(item)
+            best = None
+            for at in range(-len(v) + 1, len(w)):
+                met, values = 0, {}
+                for j in range(len(v) - 4):
+                    span = [(v[j + k], w[at + j + k] if 0 <= at + j + k < len(w) else None) for k in range(5)]
+                    if all(x == y or x.isdigit() and y is not None and y.isdigit() for x, y in span):
+                        met += 1
+                        for x, y in span:
+                            if x.isdigit():
+                                values.setdefault(x, set()).add(y)
+                share = met / (len(v) - 4)
+                mixed, changed = sum(len(y) > 1 for y in values.values()), sum(y != {x} for x, y in values.items())
+                if share >= coverage and 2 * mixed <= len(values) and (best is None or (share, -changed) > best):
+                    best = share, -changed
+            if best:
+                found[d, i] = "exact" if not best[1] else "reparameterised"
+    return found
+
+
+def test_equals_brute_force(spark):
+    """Random items with numbers; documents with copies, re-parameterised ones, torn and mixed ones among other words."""
+    import random
+
+    from tallyline.llm import decontaminate
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    items = []
+    for i in range(12):
+        body = rng.choices(words, k=rng.randint(14, 24))
+        for at in range(2, len(body), 6):
+            body[at] = str(rng.randint(10, 99))
+        items.append((i, " ".join(body)))
+    docs, planted = [], 0
+    for d in range(120):
+        _, item = rng.choice(items)
+        kind, text = rng.randrange(5), item.split()
+        if kind in (1, 2):
+            other = {}
+            text = [other.setdefault(x, str(rng.randint(100, 999))) if x.isdigit() else x for x in text]
+        elif kind == 3:
+            text = [str(rng.randint(100, 999)) if x.isdigit() else x for x in text]
+            text[rng.randrange(len(text))] = "zzz"
+        elif kind == 4:
+            text = text[: len(text) // 3]
+        planted += kind < 3
+        docs.append((d, " ".join(rng.choices(words, k=rng.randint(0, 40)) + text + rng.choices(words, k=rng.randint(0, 40)))))
+    want = brute(docs, items, decontaminate.COVERAGE)
+    got = {(r.doc_id, r["item_id"]): r.kind for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) >= planted > 40
+
+
 def test_all_windows_without_the_held_set(spark, benchmark, monkeypatch):
     from tallyline.llm import decontaminate
 
