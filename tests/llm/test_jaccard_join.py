@@ -63,6 +63,46 @@ def test_empty_table(nothing):
     assert J.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_template_families(spark, split, monkeypatch):
+    """Pages of templates with more or fewer words of their own, of several lengths, that share common passages: every bucket is hot."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    passages = [rng.choices(words, k=k) for k in (12, 12, 25, 40)]
+    rows = []
+    for family in range(6):
+        body = list(itertools.chain(*rng.sample(passages, rng.randint(1, 3))))
+        for page in range(40):
+            own = [f"f{family}p{page}x{i}" for i in range(rng.choice([0, 1, 2, 2, 3, 8]))]
+            at = rng.choice([0, len(body), len(body) // 2])
+            rows.append((len(rows), " ".join(body[:at] + own + body[at:])))
+    monkeypatch.setattr(J, "SMALL_BUCKET", 2)
+    if split:
+        monkeypatch.setattr(J, "SAMPLED", 1)
+        monkeypatch.setattr(J, "HOT", 3)
+        monkeypatch.setattr(J, "GROUP", 3)
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected(rows)
+
+
+def test_pages_of_one_template_are_no_candidates(spark, monkeypatch):
+    """Thousands of pages that share all but two words and link with none: candidates stay few."""
+    n = 4000
+    made = [(i, f"the quick brown fox jumps over a lazy dog and some more words x{i} y{i}") for i in range(n)]
+    rows = {}
+    keep = J.saved
+
+    def counted(df, name):
+        kept = keep(df, name)
+        rows[name] = rows.get(name, 0) + kept.count()
+        return kept
+
+    monkeypatch.setattr(J, "saved", counted)
+    got = J.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"))
+    assert got.where("component_id <> doc_id").count() == 0
+    assert rows["members"] >= n and rows["groups"] == rows["open"] == 0
+
+
 def test_signatures_lose_no_pair():
     """Random pairs at and around the threshold share a signature whenever they link."""
     rng = np.random.default_rng(3)
