@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline.queries.comparison import read
 from tallyline.streaming import events as E
+from tallyline.streaming.timeouts import job_limits
 
 
 def _work(spark) -> str:
@@ -57,18 +58,40 @@ def stream_fan_in(spark, sf_dir):
     orders = orders.union(orders.where("cast(job_id as long) % 5 = 0"))  # every fifth is delivered twice
     jobs = orders.select("process_id", "job_id", F.lit("REQUESTED").alias("status")).union(orders.where("o_orderstatus <> 'P'").select("process_id", "job_id", F.when(F.col("o_orderstatus") == "F", "DONE").otherwise("FAILED")))
     jobs.write.parquet(f"{work}/in")
-    key, was = "spark.sql.streaming.stateStore.providerClass", None
+    with_timers(spark, lambda: E.to_files(E.fan_in(spark.readStream.schema(jobs.schema).parquet(f"{work}/in")), f"{work}/out", f"{work}/state").awaitTermination())
+    return spark.read.parquet(f"{work}/out").select("process_id", F.col("n_jobs").cast("long").alias("n_jobs"))
+
+
+def with_timers(spark, run):
+    """``run()`` with the state store that timers need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        E.to_files(E.fan_in(spark.readStream.schema(jobs.schema).parquet(f"{work}/in")), f"{work}/out", f"{work}/state").awaitTermination()
+        return run()
     finally:
         spark.conf.set(key, was)
-    return spark.read.parquet(f"{work}/out").select("process_id", F.col("n_jobs").cast("long").alias("n_jobs"))
+
+
+def stream_job_timeouts(spark, sf_dir):
+    """Events as jobs of an hour at most: views end in time, clicks after an hour and a half, errors fail at two and a half, the rest never end."""
+    work = _work(spark)
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    late = F.create_map(*map(F.lit, ("view", 600, "click", 5400, "error", 9000)))[F.col("event_type")]
+    ends = events.where(late.isNotNull()).select("event_id", F.when(F.col("event_type") == "error", "FAILED").otherwise("DONE").alias("status"), F.timestamp_seconds(F.unix_timestamp("ts") + late).alias("at"))
+    rows = events.select("event_id", F.lit("RUNNING").alias("status"), F.timestamp_seconds(F.unix_timestamp("ts")).alias("at")).union(ends)
+    rows.withColumnRenamed("event_id", "job_id").write.parquet(f"{work}/in")
+    # a day later something else happens, so that all limits run out
+    spark.range(1, 4).select(F.lit(-1).cast("long").alias("job_id"), F.lit("DONE").alias("status"), (F.lit("2100-01-01").cast("timestamp") + F.make_dt_interval(F.col("id").cast("int"))).alias("at")).repartitionByRange(3, "at").write.mode("append").parquet(f"{work}/in")
+    stream = spark.readStream.schema("job_id long, status string, at timestamp").option("maxFilesPerTrigger", 4).parquet(f"{work}/in")
+    with_timers(spark, lambda: E.to_files(job_limits(stream, 3600), f"{work}/out", f"{work}/state").awaitTermination())
+    return spark.read.parquet(f"{work}/out")
 
 
 QUERIES = {
     "stream_dedupe": (stream_dedupe, "select event_id, user_id from events where event_id % 7 <> 0 and event_id % 9 <> 0"),
     "stream_dlq": (stream_dlq, "select 'no data' as invalid, sum(case when event_id % 10 = 0 then 2 else 1 end)::bigint as n from events where event_id % 7 = 0 and event_id % 9 <> 0"),
     "stream_fan_in": (stream_fan_in, "select o_custkey as process_id, count(*) as n_jobs from orders group by 1 having count(*) filter (o_orderstatus = 'P') = 0"),
+    "stream_job_timeouts": (stream_job_timeouts, """select event_id as job_id, case when n < 3 then 'restart' else 'failed' end as action, least(n, 2)::int as attempts, date_trunc('second', ts) + n * interval 1 hour as at
+  from events cross join (values (1), (2), (3)) x(n) where event_type not in ('view') and (event_type <> 'click' or n = 1) and (event_type <> 'error' or n < 3)"""),
 }
