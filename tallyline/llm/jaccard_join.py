@@ -42,6 +42,8 @@ from tallyline.llm.vectext import U, mix, shingle_sets, words
 NUM, DEN = 4, 5
 #: Larger buckets of several components are hot: not all of their open pairs are tried, see ``_scarce``.
 SMALL_BUCKET = 32
+#: Members of a bucket whose open pairs are tried without a look at sizes and ranks first.
+DIRECT = 256
 #: A signature met ``HOT`` times in the sample (one document of ``SAMPLED``) is split into groups of about ``GROUP`` members.
 SAMPLED, HOT, GROUP = 64, 32, 2048
 SKETCH_BITS_A_SHINGLE = 2
@@ -172,28 +174,30 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     component costs its size times the rest, never its square. ``rank`` is the
     key's place among a member's features in the common order, 0 if unknown: the
     first feature that two sets share leaves what comes after it as the most
-    that they can still have in common. Sizes and ranks decide that, so it is
-    settled once for all members of one size and rank: pages of a template, which
-    share a key at one rank, are no candidates at all. Groups that may link are
-    joined member by member, large ones in parts; parity sketches (``mini``)
-    refute most pairs inside the join.
+    that they can still have in common. Sizes and ranks decide that, so in a
+    bucket of more than ``DIRECT`` members it is settled once for all members of
+    one size and rank, and those without a partner leave: pages of a template,
+    which share a key at one rank, are no candidates at all. The rest meet by
+    bands of sizes. Parity sketches (``mini``) refute most pairs inside the join.
     """
     part = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = part.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
+    main = part.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("size")).where("parts > 1").select("key", F.col("m.component").alias("main"), (F.col("size") > DIRECT).alias("large"))
     mixed = saved(members.join(main, "key"), "mixed")
-    left = mixed.where("component <> main").select("key", F.col("mini").alias("ma"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), "main")
-    right = mixed.select(F.col("key").alias("k"), F.col("mini").alias("mb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
-    band = lambda n: F.floor(F.log(n) / float(np.log(DEN / NUM))).cast("int")  # noqa: E731  sizes that may link are a band apart at most
-    ours = left.groupBy("key", "na", "ra").agg(F.count(F.lit(1)).alias("c")).withColumn("band", F.explode(F.sequence(band(F.col("na")) - 1, band(F.col("na")) + 1)))
-    theirs = right.groupBy("k", "nb", "rb").agg(F.count(F.lit(1)).alias("other")).withColumn("b_band", band(F.col("nb")))
     sizes = f"na * {NUM} <= nb * {DEN} and nb * {NUM} <= na * {DEN}"
     enough = f"(1 + least(na - ra, nb - rb)) * {NUM + DEN} >= {NUM} * (na + nb)"
-    pairs = ours.join(theirs, F.expr(f"key = k and band = b_band and {sizes} and {enough}"))
-    pairs = saved(pairs.select("key", "na", "ra", "nb", "rb", F.ceil(F.col("c") / GROUP).cast("int").alias("parts")), "groups")
+    band = lambda n: F.floor(F.log(n) / float(np.log(DEN / NUM))).cast("int")  # noqa: E731  sizes that may link are a band apart at most
+    around = lambda n: F.sequence(band(n) - 1, band(n) + 1)
+    if not (large := mixed.where("large")).isEmpty():
+        ours = large.where("component <> main").select("key", F.col("n").alias("na"), F.col("rank").alias("ra")).distinct().withColumn("band", F.explode(around(F.col("na"))))
+        theirs = large.select(F.col("key").alias("k"), F.col("n").alias("nb"), F.col("rank").alias("rb")).distinct().withColumn("b_band", band(F.col("nb")))
+        fits = ours.join(theirs, F.expr(f"key = k and band = b_band and {sizes} and {enough}"))
+        open_ = saved(fits.select("key", F.explode(F.array(F.struct(F.col("na").alias("n"), F.col("ra").alias("rank")), F.struct(F.col("nb").alias("n"), F.col("rb").alias("rank")))).alias("g")).select("key", "g.n", "g.rank").distinct(), "groups")
+        mixed = mixed.where("not large").unionByName(large.join(small_or_not(open_), ["key", "n", "rank"], "left_semi"))
+    of = F.col("large")
+    left = mixed.where("component <> main").select("key", F.explode(F.when(of, around(F.col("n"))).otherwise(F.array(F.lit(0)))).alias("band"), F.col("mini").alias("ma"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), "main")
+    right = mixed.select(F.col("key").alias("k"), F.when(of, band(F.col("n"))).otherwise(0).alias("b_band"), F.col("mini").alias("mb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
     near = f"aggregate(zip_with(ma, mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= (na + nb) * {DEN - NUM} div {DEN + NUM}"
-    one = left.join(pairs, ["key", "na", "ra"]).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    two = right.withColumnRenamed("k", "key").join(pairs, ["key", "nb", "rb"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    met = one.join(two, ["key", "na", "ra", "nb", "rb", "part"]).where(F.expr(f"(cb = main or ca < cb) and {near}"))
+    met = left.join(right, F.expr(f"key = k and band = b_band and (cb = main or ca < cb) and {sizes} and {enough} and {near}"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

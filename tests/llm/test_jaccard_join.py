@@ -78,6 +78,7 @@ def test_template_families(spark, split, monkeypatch):
             rows.append((len(rows), " ".join(body[:at] + own + body[at:])))
     monkeypatch.setattr(J, "SMALL_BUCKET", 2)
     if split:
+        monkeypatch.setattr(J, "DIRECT", 2)
         monkeypatch.setattr(J, "SAMPLED", 1)
         monkeypatch.setattr(J, "HOT", 3)
         monkeypatch.setattr(J, "GROUP", 3)
