@@ -50,6 +50,17 @@ def newest_first(rows: DataFrame, key: str, created: str = "created_at", row_id:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col(created).desc_nulls_last(), F.col(row_id).desc())))
 
 
+def listed(rows: DataFrame, key: list[str], order: list, nulls_last: bool = True) -> DataFrame:
+    """Rows with their place in the list of their key: files by uploaded_at, parameters by code, upload statuses by doc_stage. Give an order without ties."""
+    by = [(F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc()) if isinstance(c, str) else c for c in order]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*by)))
+
+
+def group_order() -> list[Column]:
+    """Evidence groups in the order of their evaluation; null keys count as empty."""
+    return [F.coalesce("param_code", F.lit("")), F.coalesce("element_key", F.lit(""))]
+
+
 def latest(versions: DataFrame, key: str, order: str = "version") -> DataFrame:
     """The row of the highest version of each key."""
     rows = F.struct(*[c for c in versions.columns if c != key])

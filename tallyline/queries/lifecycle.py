@@ -126,7 +126,9 @@ def outbox_claim(spark, sf_dir):
 
 
 def manifest_hash(spark, sf_dir):
-    t = read(spark, sf_dir, "documents").select(F.col("source").alias("process_id"), F.sha2("text", 256).alias("sha256"))
+    """Orders as files of their customer: a group is as small as a process's files are."""
+    name = F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    t = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("process_id"), F.sha2(name, 256).alias("sha256"))
     return report.manifest_hash(t)
 
 
@@ -144,7 +146,24 @@ def upload_limits(spark, sf_dir):
 _LIMITS = """select case when size <= 0 or size > 52428800 then 'REJECTED_SIZE' when t > 209715200 then 'BATCH_SIZE' else 'ok' end as refused, count(*) as n
   from (select size, sum(size) over (partition by o_custkey) as t from (select o_custkey, trunc(o_totalprice)::bigint * 200 as size from orders)) group by 1"""
 
+def lists_in_order(spark, sf_dir):
+    """Places in the lists that are shown: files of a process by upload, parameters by code, stages of a process by name, groups by their key."""
+    files = report.listed(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("process_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("uploaded_at")), ["process_id"], ["uploaded_at", "id"])
+    params = report.listed(read(spark, sf_dir, "part").select(F.col("p_brand").alias("section"), F.col("p_partkey").alias("id"), F.concat(F.lit("M-"), F.col("p_partkey").cast("string")).alias("code")), ["section"], ["code"])
+    stages = report.listed(L.upload_status(*_uploads(spark, sf_dir)), ["process_id"], ["doc_stage"])
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("process_id"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("param_code"), F.col("l_linenumber").cast("string").alias("element_key"))
+    groups = report.listed(line, ["process_id"], report.group_order(), False)
+    one = lambda df, kind, key, item: df.select(F.lit(kind).alias("list"), F.col(key).cast("string").alias("key"), F.col(item).cast("string").alias("item"), F.col("place").cast("long").alias("place"))
+    return one(files, "files", "process_id", "id").union(one(params, "params", "section", "id")).union(one(stages, "stages", "process_id", "doc_stage")).union(one(groups, "groups", "process_id", "element_key"))
+
+
+_LISTS = f"""with {_STATUS} select 'files' as list, o_custkey::varchar as key, o_orderkey::varchar as item, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as place from orders
+union all select 'params', p_brand, p_partkey::varchar, row_number() over (partition by p_brand order by 'M-' || p_partkey) from part
+union all select 'stages', process_id::varchar, doc_stage, row_number() over (partition by process_id order by doc_stage) from st
+union all select 'groups', l_orderkey::varchar, l_linenumber::varchar, row_number() over (partition by l_orderkey order by case when l_returnflag <> 'N' then l_returnflag else '' end, l_linenumber::varchar) from lineitem"""
+
 QUERIES = {
+    "lists_in_order": (lists_in_order, _LISTS),
     "upload_status": (upload_status, f"with {_STATUS} select * from st"),
     "scenario": (scenario, _SCENARIO),
     "parse_job_plan": (parse_job_plan, _PLAN),
@@ -156,7 +175,7 @@ QUERIES = {
     "latest_version": (latest_version, "select o_custkey as process_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as o_orderkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as o_totalprice from orders group by 1"),
     "matrix_upsert": (matrix_upsert, _UPSERT),
     "outbox_claim": (outbox_claim, "select event_id, case when event_type = 'error' then 'failed' else 'pending' end as status from events where event_type <> 'view' order by ts, event_id limit 100"),
-    "manifest_hash": (manifest_hash, "select source as process_id, sha256(string_agg(h, '' order by h)) as manifest_hash from (select source, sha256(text) as h from documents) group by 1"),
+    "manifest_hash": (manifest_hash, "select o_custkey as process_id, sha256(string_agg(h, '' order by h)) as manifest_hash from (select o_custkey, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority) as h from orders) group by 1"),
     "gold_dataset": (gold_dataset, f"with {_FOLD} select case inspector_status when 'CONFIRMED_VIOLATION' then 1 else 0 end as label, count(*) as n from f where inspector_status in ('CONFIRMED_VIOLATION', 'NEGATIVE_VERIFIED') group by 1"),
     "upload_limits": (upload_limits, _LIMITS),
 }

@@ -52,6 +52,38 @@ def registry_unmatched(spark, sf_dir):
     return read(spark, sf_dir, "labels").join(docs, "doc_id", "left_anti").select("doc_id", F.col("quality").cast("long").alias("quality"))
 
 
+def registry_references(spark, sf_dir):
+    """Rows that name another document by digest, by name, by a digest that nothing has, or not at all; as successors their copies by name."""
+    k = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    near = docs.select((k + 1).alias("doc_id"), F.sha2("text", 256).alias("sha_before"))
+    t = docs.join(near, "doc_id", "left")
+    values = {
+        "object_id": F.lit("1"), "file_name": F.concat(F.lit("doc-"), k.cast("string"), F.lit(".txt")), "sha256": F.lit(""), "doc_stage": F.lit("PD"), "approval_status": F.lit("APPROVED"), "approval_date": F.lit("2026-03-05"),
+        "predecessor_ref": F.when(k % 4 == 0, F.coalesce("sha_before", F.lit(""))).when(k % 4 == 1, F.concat(F.lit("doc-"), (k - 1).cast("string"), F.lit(".txt"))).when(k % 4 == 2, F.lit("0" * 64)).otherwise(F.lit("")),
+        "successor_ref": F.when(k % 5 == 0, F.concat(F.lit("doc-"), (k + 1).cast("string"), F.lit(".txt"))).otherwise(F.lit("")),
+    }
+    rows = O.normalize_rows(t.select("doc_id", *(values.get(c, F.lit("")).alias(c) for c in O.COLUMNS)))
+    return O.match_rows(rows, _files(spark, sf_dir)).select("doc_id", "file_id", "predecessor_id", "successor_id", "match_status")
+
+
+_REFERENCES = """with f as (select sha256(text) as sha, max(doc_id) as last_id from documents group by 1), d as (select doc_id as k, sha256(text) as sha from documents)
+select d.k as doc_id, d.k as file_id, case d.k % 4 when 0 then f.last_id when 1 then p.k end as predecessor_id, case when d.k % 5 = 0 then n.k end as successor_id, 'MATCHED' as match_status
+from d left join d p on p.k = d.k - 1 left join f on f.sha = p.sha left join d n on n.k = d.k + 1"""
+
+
+def registry_status_counts(spark, sf_dir):
+    """Registry rows by what became of them, through the matching operator."""
+    rows = O.match_rows(O.normalize_rows(_rows(spark, sf_dir)), _files(spark, sf_dir))
+    return rows.groupBy("match_status").agg(F.count(F.lit(1)).alias("n"), F.count("file_id").alias("with_file"))
+
+
+def duplicates_marked(spark, sf_dir):
+    """Documents as files of their language: a later one of a text keeps no digest and has a note."""
+    files = _files(spark, sf_dir).withColumnRenamed("lang", "process_id")
+    return O.mark_duplicates(files).select("file_id", "sha256", "note")
+
+
 def _chains(spark, sf_dir):
     """Files made of events: a user's events are a group, each naming the one before as predecessor, some also a successor."""
     from pyspark.sql import Window
@@ -93,6 +125,9 @@ select distinct root as id from w where root = cur"""
 QUERIES = {
     "registry_match_coalesce": (registry_match_coalesce, _MATCH),
     "registry_unmatched": (registry_unmatched, "select doc_id, quality::bigint as quality from labels where doc_id not in (select doc_id from documents where lang = 'en')"),
+    "registry_references": (registry_references, _REFERENCES),
+    "registry_status_counts": (registry_status_counts, f"with m as ({_MATCH.strip()}) select match_status, count(*) as n, count(*) filter (file_id >= 0) as with_file from m group by 1"),
+    "duplicates_marked": (duplicates_marked, "select doc_id as file_id, case when n = 1 then sha256(text) end as sha256, case when n > 1 then 'duplicate content' end as note from (select *, row_number() over (partition by lang, text order by doc_id) as n from documents)"),
     "revision_select": (revision_select, _SELECT),
     "revision_cycle": (revision_cycle, _CYCLE),
 }
