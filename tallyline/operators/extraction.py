@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,38 +75,73 @@ NO_UNIT = ("", "—", "ед.", "шт.")
 FLAGS, WORD_START = "(?iU)", r"(?<![\w])"
 
 
+def _required(parsed) -> set[str]:
+    """Lower-case texts of which every match has one at least, as long as can be; none if nothing is sure."""
+    sure: list[set[str]] = []
+    run = ""
+    for op, arg in [*parsed, (None, None)]:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg).lower()
+            continue
+        if run:
+            sure.append({run})
+            run = ""
+        if name == "SUBPATTERN":
+            sure.append(_required(arg[-1]))
+        elif name == "BRANCH":
+            parts = [_required(p) for p in arg[1]]
+            sure.append(set().union(*parts) if all(parts) else set())
+        elif name == "MAX_REPEAT" and arg[0] > 0:
+            sure.append(_required(arg[2]))
+    return max((x for x in sure if x), key=lambda x: (min(map(len, x)), -len(x)), default=set())
+
+
+def stems(expression: str) -> list[str]:
+    """What the lower-case text must hold, one of them at least, for an expression to match; empty if that can't be told."""
+    from re import _parser
+
+    return sorted(_required(_parser.parse(expression.replace("(?<num>", "(?P<num>").replace("(?<val>", "(?P<val>").replace("(?<unit>", "(?P<unit>"))))
+
+
 class Pattern:
-    """One pattern: its expression and the numbers of its value and unit groups."""
+    """One pattern: its expression, the numbers of its value and unit groups, and the stems without which it can't match."""
 
-    def __init__(self, code: str, kind: str, expression: str):
+    def __init__(self, code: str, kind: str, expression: str, indexed: bool = True):
         self.code, self.kind, self.expression = code, kind, FLAGS + WORD_START + expression
+        self.stems = stems(expression) if indexed else []
+
+    def may_match(self, lower: Column) -> Column:
+        """Whether a lower-case text has a stem: a look at plain characters, which spares most expressions."""
+        return reduce(lambda a, b: a | b, (lower.contains(s) for s in self.stems)) if self.stems else F.lit(True)
 
     def match(self, text: Column) -> Column:
         """(at, value, unit) of the first match, ``at`` counting from 0; for texts that have one."""
         unit = F.regexp_extract(text, self.expression, 2) if self.kind == "number" else F.lit("")
         return F.struct((F.regexp_instr(text, F.lit(self.expression)) - 1).alias("at"), F.trim(F.regexp_extract(text, self.expression, 1)).alias("value"), F.trim(unit).alias("unit"))
 
-    def find(self, text: Column, joined: Column) -> Column:
-        """The pattern with its match on ``text``, or else on ``joined`` if it begins on ``text``; null without one."""
+    def find(self, text: Column, joined: Column, lower: Column) -> Column:
+        """The pattern with its match on ``text``, or else on ``joined`` if it begins on ``text``; null without one. ``lower`` is all of both in lower case."""
         here, there = text.rlike(self.expression), joined.rlike(self.expression)
         if self.code in EXCLUDE:
             here, there = (x & ~text.rlike(FLAGS + EXCLUDE[self.code]) for x in (here, there))
         row = lambda of, spans: F.struct(F.lit(self.code).alias("param_code"), F.lit(self.kind).alias("kind"), F.lit(spans).alias("spans"), self.match(of).alias("m"))
-        return F.when(here, row(text, False)).when(there, row(joined, True))
+        return F.when(self.may_match(lower), F.when(here, row(text, False)).when(there, row(joined, True)))
 
 
-def patterns(only: set[str] | None = None) -> list[Pattern]:
-    """The patterns in order; ``only`` restricts them, an empty set means all."""
-    made = [Pattern(c, "number", rf"(?:{label}){GAP}{NUM}\s*(?:{UNITS[unit]})?") for c, unit, label in NUMBER]
-    made += [Pattern(c, "ordinal", x) for c, x in ORDINAL] + [Pattern(c, "string", x) for c, x in TEXT]
+def patterns(only: set[str] | None = None, indexed: bool = True) -> list[Pattern]:
+    """The patterns in order; ``only`` restricts them, an empty set means all. ``indexed=False`` tries every one on every line."""
+    made = [Pattern(c, "number", rf"(?:{label}){GAP}{NUM}\s*(?:{UNITS[unit]})?", indexed) for c, unit, label in NUMBER]
+    made += [Pattern(c, "ordinal", x, indexed) for c, x in ORDINAL] + [Pattern(c, "string", x, indexed) for c, x in TEXT]
     return [p for p in made if not only or p.code in only]
 
 
-def candidates(lines: DataFrame, units: dict[str, str] | None = None, only: set[str] | None = None) -> DataFrame:
+def candidates(lines: DataFrame, units: dict[str, str] | None = None, only: set[str] | None = None, indexed: bool = True) -> DataFrame:
     """Candidate facts of ``lines`` (id, page, line, text, bbox, next_text, next_bbox).
 
     Every pattern is a literal expression of its own, so one pass over the lines
-    serves all of them. A match on the line itself is preferred; else the line
+    serves all of them; it is tried only where the line has one of the stems
+    that its matches need. A match on the line itself is preferred; else the line
     and the next, if the match begins on the line, at 0.05 less confidence. A
     number without a unit beside it loses 0.1 where its parameter has one.
     """
@@ -113,7 +150,8 @@ def candidates(lines: DataFrame, units: dict[str, str] | None = None, only: set[
     units = param_units() if units is None else units
     names = F.create_map(*(F.lit(v) for pair in units.items() for v in pair)) if units else F.create_map().cast("map<string,string>")
     rows = lines.withColumn("joined", F.when(F.col("next_text").isNotNull(), F.concat_ws(" ", "text", "next_text")))
-    hits = F.filter(F.array(*(p.find(F.col("text"), F.col("joined")) for p in patterns(only))), lambda x: x.isNotNull())
+    rows = rows.withColumn("lower", F.lower(F.coalesce("joined", "text")))
+    hits = F.filter(F.array(*(p.find(F.col("text"), F.col("joined"), F.col("lower")) for p in patterns(only, indexed))), lambda x: x.isNotNull())
     each = rows.withColumn("h", F.explode(hits)).select(*rows.columns, "h.param_code", "h.kind", "h.spans", "h.m.*")
     each = each.where(~F.col("spans") | (F.col("at") < F.length("text"))).withColumn("want", F.coalesce(F.try_element_at(names, "param_code"), F.lit("")))
     number = S.to_matrix_unit(S.parse_number_any_space(F.col("value")), F.when(F.col("unit") == "", F.col("want")).otherwise(F.col("unit")), F.col("want"))
@@ -139,14 +177,16 @@ def verify_proposed(proposed: DataFrame, lines: DataFrame, known: set[str] | Non
     that no line holds, and a code that isn't ``known``, is dropped. Values and
     lines are compared without white space, in lower case, commas as points. The
     join is on id and chunk, so it costs a proposal times the lines of its chunk.
+    A proposal's unit, the line's box and the chunk come along where there are any.
     """
     if known is not None:
         proposed = proposed.where(F.col("param_code").isin(*known)) if known else proposed.limit(0)
     keys = ["id", "chunk"] if "chunk" in proposed.columns and "chunk" in lines.columns else ["id"]
     has = F.contains(S.squash(F.col("text")), S.squash(F.col("value"))) & (S.squash(F.col("value")) != "")
-    met = proposed.withColumn("_p", F.monotonically_increasing_id()).withColumnsRenamed({"page": "cited_page", "line": "cited_line"}).join(lines.select(*keys, "page", "line", "text"), keys).where(has)
+    more = [c for c in ("unit",) if c in proposed.columns] + [c for c in ("bbox",) if c in lines.columns] + keys[1:]
+    met = proposed.withColumn("_p", F.monotonically_increasing_id()).withColumnsRenamed({"page": "cited_page", "line": "cited_line"}).join(lines.select(*keys, "page", "line", "text", *(c for c in more if c == "bbox")), keys).where(has)
     order = F.struct(((F.col("page") != F.col("cited_page")) | (F.col("line") != F.col("cited_line"))).alias("off"), "page", "line")
-    best = met.groupBy("_p").agg(F.min_by(F.struct("id", "param_code", "value", "page", "line", "text"), order).alias("x"))
+    best = met.groupBy("_p").agg(F.min_by(F.struct("id", "param_code", "value", "page", "line", "text", *more), order).alias("x"))
     return best.select("x.*", F.lit(0.7).alias("confidence"))
 
 

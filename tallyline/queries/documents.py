@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyline.operators import extraction, layout
+from tallyline.operators import extraction, layout, proposals
 from tallyline.queries.comparison import read
 
 
@@ -82,6 +82,43 @@ select * from (select p_partkey as id, case p_partkey % 5 when 0 then 'M-001' wh
   case when p_partkey % 3 = 0 and p_partkey % 5 < 2 then 0.8 else 0.85 end::double as confidence from part) where param_code is not null"""
 
 
+#: A line for each pattern: code, text before the value, unit in the text, and for what isn't a number the value as written and as a fact has it.
+SAMPLES = [
+    ("M-001", "Площадь застройки", "м²"), ("M-002", "Общая площадь жилого здания", "м²"), ("M-003", "Полезная площадь", "кв. м"), ("M-005", "Строительный объём подземной части", "м³"), ("M-006", "Надземная часть, объем", "куб.м"),
+    ("M-004", "Общий строительный объем", "м3"), ("M-007", "Этажность (надземная)", ""), ("M-008", "Высота здания", "м"), ("M-010", "Общее количество квартир", ""), ("M-012", "Количество машиномест в подземной стоянке", ""),
+    ("M-014", "Расчетная электрическая мощность", "кВт"), ("M-016", "Суточный расход холодной воды", ""), ("M-017", "Суммарная тепловая нагрузка", ""), ("M-018", "Максимальный часовой расход газа", ""), ("M-019", "Коэффициент застройки", "%"),
+    ("M-020", "Коэффициент использования территории", "%"), ("M-027", "Площадь озеленения", "м²"), ("M-028", "Площадь детских и спортивных площадок", "м²"), ("M-030", "Ширина пожарных проездов", "м"), ("M-037", "Количество парковочных мест", ""),
+    ("M-040", "Ширина эвакуационных коридоров", "м"), ("M-041", "Ширина эвакуационного выхода", "м"), ("M-047", "Глубина тамбура", "м"), ("M-049", "Высота ограждений", "м"), ("M-118", "Высота порога", "м"), ("M-058", "Толщина фундаментной плиты", "мм"),
+    ("M-059", "Толщина плит перекрытия", "мм"), ("M-061", "Толщина несущих стен", "мм"), ("M-125", "Толщина утеплителя", "мм"), ("M-128", "Толщина утеплителя кровли", "мм"), ("M-126", "Коэффициент теплопроводности", ""),
+    ("M-131", "Удельный годовой расход тепловой энергии", ""), ("M-132", "Стоимость строительства", "тыс. руб."), ("M-086", "Максимальная численность", ""), ("M-103", "Двери противопожарные EI", ""),
+    ("M-055", "Класс бетона", None, "В25", "B25"), ("M-056", "Сталь марки", None, "С345", "C345"), ("M-057", "Арматура", None, "А500С", "A500C"), ("M-021", "Класс энергетической эффективности здания", None, "A+", "A+"), ("M-022", "Степень огнестойкости", None, "II", "II"),
+    ("M-023", "Класс конструктивной пожарной опасности", None, "С0", "C0"), ("M-015", "Категория надежности электроснабжения", None, "I", "I"), ("M-107", "Отделка потолков, материал", None, "КМ1", "KM1"), ("M-052", "Облицовка фасада, цвет", None, "RAL 7035", "RAL 7035"),
+]
+
+
+def extract_all_patterns(spark, sf_dir):
+    """A line a part, of each of the 44 patterns in turn, among words of no meaning."""
+    k = F.col("p_partkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(SAMPLES)).cast("int"))
+    value = F.concat_ws(" ", F.col("p_size").cast("string"), F.nullif(pick([s[2] or "" for s in SAMPLES]), F.lit("")))
+    other = pick([s[3] if len(s) > 3 else "" for s in SAMPLES])
+    text = F.concat(F.lit("см. п. "), F.col("p_name"), F.lit("; "), pick([s[1] for s in SAMPLES]), F.lit(" — "), F.when(other == "", value).otherwise(other))
+    none = F.lit(None)
+    lines = read(spark, sf_dir, "part").select(k.alias("id"), F.lit(1).alias("page"), F.lit(0).alias("line"), text.alias("text"), none.cast("array<double>").alias("bbox"), none.cast("string").alias("next_text"), none.cast("array<double>").alias("next_bbox"))
+    return extraction.candidates(lines).select("id", "param_code", "value_norm", "unit", "confidence")
+
+
+def _all_sql() -> str:
+    from tallyline.plans.catalogue import param_units
+
+    units, rows = param_units(), []
+    for n, (code, _, unit, *other) in enumerate(SAMPLES):
+        shown = units.get(code)
+        sure = (0.8 if code == "M-052" else 0.85) if other or unit or shown in (None, "ед.", "шт.") else 0.75
+        rows.append(f"({n}, '{code}', {f"'{other[1]}'" if other else 'null'}, {f"'{shown}'" if shown and not other else 'null'}, {sure})")
+    return f"select p_partkey as id, code as param_code, coalesce(said, p_size::varchar) as value_norm, unit, sure::double as confidence from part join (values {', '.join(rows)}) v(n, code, said, unit, sure) on n = p_partkey % {len(SAMPLES)}"
+
+
 def llm_fact_verify(spark, sf_dir):
     """Values that a model proposed, verified on the text: the benchmark's first words, and a made-up one."""
     bench = read(spark, sf_dir, "benchmark")
@@ -97,6 +134,39 @@ select item_id, 1 as page, trim(arg_min(line, n)) as quote from v
 where item_id % 3 <> 0 and value <> '' and contains(lower(regexp_replace(line, '\\s+', '', 'g')), value) group by item_id"""
 
 
+def _stub(messages: list[dict]) -> str:
+    """Stands for a model: it proposes the first word of the first line, an invented value and an unknown code, in odd JSON; it is down for some texts."""
+    text = messages[1]["content"].partition("Текст документа:\n")[2]
+    if len(text) % 13 == 0:
+        raise ConnectionError("down")
+    ref, _, line = text.split("\n")[0].removeprefix("[").partition("] ")
+    word = (line.split() or [""])[0].replace("\\", "\\\\").replace('"', '\\"')
+    fact = f'{{"param_code": "M-052", "value": "{word}", "ref": "{ref}"}}'
+    return f'```json\n{{"facts": [{fact}, {{"param_code": "M-052", "value": "никогда7", "ref": "1:0"}}, {{"param_code": "X-1", "value": "{word}", "ref": "{ref}"}},]}}\n```'
+
+
+def llm_extraction(spark, sf_dir):
+    """Chunks of 2000 characters of documents, asked of a stub: its verified facts, and the chunks that failed."""
+    docs = read(spark, sf_dir, "documents")
+    lines = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    chunks = proposals.chunked(lines, 2000)
+    answers = proposals.ask(proposals.questions(chunks, [("M-052", "Цвет облицовки", "")]), _stub, proposals.Limits(tries=2, pause=0.0, budget=1 << 40))
+    facts = proposals.candidates(answers, chunks, {"M-052": "string"}, {})
+    failed = answers.where("error is not null").select(F.col("id").alias("doc_id"), F.col("chunk").cast("long").alias("chunk"), F.lit(-1).cast("long").alias("line"), F.col("error").alias("value"), "tries")
+    return facts.select(F.col("id").alias("doc_id"), F.col("chunk").cast("long").alias("chunk"), F.col("line").cast("long").alias("line"), F.col("value_raw").alias("value"), F.lit(1).alias("tries")).union(failed)
+
+
+_LLM = """
+with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents),
+c as (select doc_id, n, line, length('[1:' || (n - 1) || '] ' || line) + 1 as c from l),
+w as (select doc_id, n, c as s, 0 as chunk from c where n = 1
+  union all select c.doc_id, c.n, case when w.s + c.c - 1 > 2000 then c.c else w.s + c.c end, case when w.s + c.c - 1 > 2000 then w.chunk + 1 else w.chunk end from w join c on c.doc_id = w.doc_id and c.n = w.n + 1),
+g as (select w.doc_id, chunk, min(w.n) as first, sum(c)::bigint - 1 as chars from w join c on c.doc_id = w.doc_id and c.n = w.n group by 1, 2),
+f as (select g.*, regexp_extract(line, '[^ \t\n\r\f\v]+') as word from g join c on c.doc_id = g.doc_id and c.n = g.first)
+select doc_id, chunk::bigint as chunk, first - 1 as line, word as value, 1 as tries from f where chars % 13 <> 0 and word <> ''
+union all select doc_id, chunk, -1, 'ConnectionError: down', 2 from f where chars % 13 = 0"""
+
+
 def llm_chunks(spark, sf_dir):
     """Chunks of at most 2000 characters that a document's lines fill in order."""
     t = read(spark, sf_dir, "documents").select("doc_id", F.array_max(extraction.chunk_lines(F.split("text", "\n"), 2000)).alias("last"))
@@ -129,7 +199,9 @@ QUERIES = {
     "layout_lines": (layout_lines, _LINES),
     "quality_grade": (quality_grade, _GRADE),
     "extract_label_value": (extract_label_value, _EXTRACT),
+    "extract_all_patterns": (extract_all_patterns, _all_sql()),
     "llm_fact_verify": (llm_fact_verify, _VERIFY),
     "llm_chunks": (llm_chunks, _CHUNKS),
+    "llm_extraction": (llm_extraction, _LLM),
     "ocr_line_build": (ocr_line_build, _OCR),
 }
