@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyline.queries import comparison, contracts, decisions, documents, extensions, facts, files, lifecycle, outputs, recompute, registry, relay, scalars, streams
+from tallyline.queries import comparison, constraints, contracts, decisions, documents, extensions, facts, files, lifecycle, outputs, recompute, registry, relay, scalars, streams
 
-MODULES = (comparison, scalars, facts, outputs, documents, files, registry, lifecycle, decisions, recompute, extensions, streams, relay, contracts)
+MODULES = (comparison, scalars, facts, outputs, documents, files, registry, lifecycle, decisions, recompute, extensions, streams, relay, contracts, constraints)
 
 
 def all_queries() -> dict:
