@@ -98,20 +98,22 @@ class FanIn(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.jobs = handle.getMapState("jobs", "job_id string", "status string")
+        self.counts = handle.getValueState("counts", "known int, ended int")  # so that no batch reads all jobs
         self.reported = handle.getValueState("reported", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        known, ended = self.counts.get() if self.counts.exists() else (0, 0)
         for frame in rows:
             for job, status in zip(frame["job_id"].astype(str), frame["status"]):
                 was = self.jobs.getValue((job,))[0] if self.jobs.containsKey((job,)) else None
                 if was not in ("DONE", "FAILED") and was != status:
                     self.jobs.updateValue((job,), (status,))
-        if self.reported.exists():
-            return
-        known = [v[0] for v in self.jobs.values()]
-        if known and all(v in ("DONE", "FAILED") for v in known):
-            self.reported.update((len(known),))
-            yield pd.DataFrame({"process_id": [key[0]], "n_jobs": [len(known)]})
+                    known += was is None
+                    ended += status in ("DONE", "FAILED")
+        self.counts.update((known, ended))
+        if known and known == ended and not self.reported.exists():
+            self.reported.update((known,))
+            yield pd.DataFrame({"process_id": [key[0]], "n_jobs": [known]})
 
     def close(self) -> None:
         pass
