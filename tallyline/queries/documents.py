@@ -193,7 +193,29 @@ def ocr_line_build(spark, sf_dir):
 _OCR = """select id, count(*) as n_lines, min(length(text))::bigint as shortest from (select l_orderkey as id, l_linenumber % 2 as line, string_agg(l_suppkey::varchar, ' ' order by l_linenumber) as text
   from lineitem where l_returnflag <> 'R' group by 1, 2) group by 1"""
 
+def content_sniff_each(spark, sf_dir):
+    """Format of each document behind one of six heads, byte-order marks and blanks among them."""
+    heads = F.array(*map(F.lit, ("%PDF-1.7 ", "PK\x03\x04", '\n <?xml version="1.0"?>', "", "\ufeff\t<?xml?>", " %PDF-")))
+    return read(spark, sf_dir, "documents").select("doc_id", layout.sniff(F.concat(F.get(heads, (F.col("doc_id") % 6).cast("int")), "text")).alias("kind"))
+
+
+def ocr_lines_whole(spark, sf_dir):
+    """Lines of OCR words made of lineitems with their text, box and place on the page."""
+    t = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.lit(1).alias("page"), F.lit(0).alias("block"), F.lit(0).alias("par"), (F.col("l_linenumber") % 3).alias("line"), F.col("l_linenumber").alias("word"),
+        F.col("l_suppkey").cast("string").alias("text"), F.when(F.col("l_returnflag") == "R", -1.0).otherwise(90.0).alias("conf"),
+        (F.col("l_linenumber") / 16).alias("x0"), (F.col("l_linenumber") % 3 / 8 + F.col("l_linenumber") / 64).alias("y0"), (F.col("l_linenumber") / 16 + 0.125).alias("x1"), (F.col("l_linenumber") % 3 / 8 + 0.5).alias("y1"),
+    )
+    return layout.ocr_lines(t).select("id", F.col("n").cast("long").alias("n"), "text", *(F.col("bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+_OCR_WHOLE = """with w as (select l_orderkey as id, l_linenumber as k, l_linenumber % 3 as line, l_suppkey from lineitem where l_returnflag <> 'R'),
+l as (select id, line, string_agg(l_suppkey::varchar, ' ' order by k, l_suppkey::varchar) as text, min(k) / 16.0::double as x0, min(line / 8.0 + k / 64.0)::double as y0, max(k / 16.0 + 0.125)::double as x1, max(line / 8.0 + 0.5)::double as y1 from w group by 1, 2)
+select id, row_number() over (partition by id order by y0, x0) - 1 as n, text, x0, y0, x1, y1 from l"""
+
 QUERIES = {
+    "content_sniff_each": (content_sniff_each, "select doc_id, case doc_id % 6 when 0 then 'pdf' when 1 then 'zip' when 2 then 'xml' when 4 then 'xml' end as kind from documents"),
+    "ocr_lines_whole": (ocr_lines_whole, _OCR_WHOLE),
     "content_sniff": (content_sniff, _SNIFF),
     "dup_content_sha256": (dup_content_sha256, _DUP),
     "layout_lines": (layout_lines, _LINES),
