@@ -15,7 +15,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-_KINDS = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$", "boolean": "^BOOLEAN$", "null": "^VOID$", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"}
 
 # The contracts of events and facts.
 _ID = {"type": "string", "format": "uuid"}
@@ -69,38 +68,74 @@ FACT = {
 }
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body``, a string, of a value that is worked out once, however often ``body`` names it.
+
+    The empty string keeps the type of what is inside: Spark asks for it on
+    each row, and would otherwise ask all the way down.
+    """
+    return F.get(F.transform(F.array(value), lambda x: F.concat(body(x), F.lit(""))), 0)
+
+
 class _Node:
-    """A place in a document: its value, its path and what it is."""
+    """A place in a document: its value, that as JSON, what it is and its path; of objects also the names and the values of their fields."""
 
-    def __init__(self, value: Column, path: Column):
-        self.value, self.path = value, path
-        self.kind = F.schema_of_variant(value)
+    def __init__(self, value: Column, json: Column, kind: Column, path: str | Column, keys: Column | None = None, fields: dict[str, Column] | None = None):
+        self.value, self.json, self.kind, self.path, self.keys, self.fields = value, json, kind, path, keys, fields or {}
 
-    def field(self, name: str) -> _Node:
-        return _Node(F.try_variant_get(self.value, f"$['{name}']", "variant"), F.when(self.path == "", F.lit(name)).otherwise(F.concat(self.path, F.lit(f"/{name}"))))
+    def below(self, name: str | Column) -> str | Column:
+        if isinstance(self.path, str) and isinstance(name, str):
+            return f"{self.path}/{name}" if self.path else name
+        if isinstance(self.path, str) and not self.path:
+            return name
+        part = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.concat(part(self.path), F.lit("/"), part(name))
 
     def error(self, rule: str) -> Column:
-        return F.concat(F.when(self.path == "", "<root>").otherwise(self.path), F.lit(f": {rule}"))
+        return F.lit(f"{self.path or '<root>'}: {rule}") if isinstance(self.path, str) else F.concat(self.path, F.lit(f": {rule}"))
 
     def text(self) -> Column:
-        return F.try_variant_get(self.value, "$", "string")
+        """A string's text: what is between the quotes, where nothing is escaped."""
+        return F.when(self.json.contains("\\"), F.try_variant_get(self.value, "$", "string")).otherwise(F.substring(self.json, F.lit(2), F.length(self.json) - 2))
 
     def number(self) -> Column:
-        return F.try_variant_get(self.value, "$", "double")
+        return F.translate(self.json, '"', "").try_cast("double")  # infinite ones are quoted
 
     def is_(self, kind: str) -> Column:
         if kind == "integer":
-            return self.kind.rlike(_KINDS["number"]) & (self.number() == F.floor(self.number()))
-        return self.kind.rlike(_KINDS[kind])
+            return self.is_("number") & (self.number() == F.floor(self.number()))
+        return self.kind == kind
 
     def equals(self, wanted) -> Column:
         if isinstance(wanted, str):
             return self.is_("string") & (self.text() == wanted)
         if isinstance(wanted, bool):
-            return self.is_("boolean") & (F.try_variant_get(self.value, "$", "boolean") == wanted)
+            return self.is_("boolean") & (self.json == str(wanted).lower())
         return self.is_("null") if wanted is None else self.is_("number") & (self.number() == float(wanted))
 
 
+def _kind(value: Column, json: Column) -> Column:
+    """What a value is, told by its JSON's first sign. Infinite numbers are in quotes there, as strings are."""
+    first = F.substring(json, 1, 1)
+    quoted = F.when(json.isin('"Infinity"', '"-Infinity"', '"NaN"') & (F.schema_of_variant(value) != "STRING"), "number").otherwise("string")
+    return F.when(first == '"', quoted).when(first == "{", "object").when(first == "[", "array").when(first.isin("t", "f"), "boolean").when(first == "n", "null").when(first.isNotNull(), "number")
+
+
+def _met(value: Column, path: str | Column, schema: dict, body: Callable[[_Node], Column]) -> Column:
+    """``body`` of the node of a value, which must be cheap to name: kinds, names and fields are looked up once.
+
+    A cast of a variant to a number or a string makes a new session
+    configuration on each row, so these are taken from its JSON.
+    """
+    names = sorted({*schema.get("properties", {}), *schema.get("required", [])})
+    if not names and "additionalProperties" not in schema:
+        return _let(F.to_json(value), lambda j: _let(_kind(value, j), lambda k: body(_Node(value, j, k, path))))
+    held = lambda m: F.struct(F.map_keys(m).alias("keys"), *(F.try_element_at(m, F.lit(n)).alias(f"f{i}") for i, n in enumerate(names)))
+    kind = lambda b: F.when(b["keys"].isNotNull(), "object").otherwise(_kind(value, F.to_json(value)))
+    node = lambda b, k: body(_Node(value, F.to_json(value), k, path, b["keys"], {n: b[f"f{i}"] for i, n in enumerate(names)}))
+    return _let(F.try_variant_get(value, "$", "map<string,variant>"), lambda m: _let(held(m), lambda b: _let(kind(b), lambda k: node(b, k))))
+
+
 def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
@@ -122,8 +157,8 @@ def _own(node: _Node, schema: dict) -> list[Column]:
         "enum": lambda v: [F.when(~_any([node.equals(x) for x in v]), node.error("enum"))],
         "const": lambda v: [F.when(~node.equals(v), node.error("const"))],
         "oneOf": lambda v: [F.when(reduce(lambda a, b: a + b, (_fits(node, x).cast("int") for x in v)) != 1, node.error("oneOf"))],
-        "required": lambda v: [F.when(node.is_("object") & node.field(x).value.isNull(), node.error(f"required {x}")) for x in v],
-        "additionalProperties": lambda v: [] if v else [F.when(node.is_("object") & (F.size(F.array_except(F.map_keys(F.try_variant_get(node.value, "$", "map<string,variant>")), F.array(*map(F.lit, schema.get("properties", {}))))) > 0), node.error("additionalProperties"))],
+        "required": lambda v: [F.when(node.is_("object") & node.fields[x].isNull(), node.error(f"required {x}")) for x in v],
+        "additionalProperties": lambda v: [] if v else [F.when(node.is_("object") & (F.size(F.array_except(node.keys, F.array(*map(F.lit, schema.get("properties", {}))))) > 0), node.error("additionalProperties"))],
         "pattern": lambda v: [F.when(node.is_("string") & ~node.text().rlike(v), node.error("pattern"))],
         "minLength": lambda v: [F.when(node.is_("string") & (F.length(node.text()) < v), node.error("minLength"))],
         "minimum": lambda v: [F.when(node.is_("number") & (node.number() < v), node.error("minimum"))],
@@ -135,18 +170,17 @@ def _own(node: _Node, schema: dict) -> list[Column]:
     return [e for word, v in schema.items() if word in words for e in words[word](v)]
 
 
-def _errors(node: _Node, schema: dict) -> list[Column]:
-    """All errors below a node, by place: its own, then those of its properties by name or of its items by number."""
+def _error(node: _Node, schema: dict) -> Column:
+    """The first error at or below a node, by place: its own, then those of its properties by name or of its items by number."""
     out = _own(node, schema)
     for name in sorted(schema.get("properties", {})):
-        part = node.field(name)
-        out += [F.when(part.value.isNotNull(), e) for e in _errors(part, schema["properties"][name])]
+        part, below = schema["properties"][name], node.fields[name]
+        out.append(F.when(below.isNotNull(), _met(below, node.below(name), part, lambda n, part=part: _error(n, part))))
     if "items" in schema:
         each = F.when(node.is_("array"), F.try_variant_get(node.value, "$", "array<variant>"))
-        path = lambda i: F.when(node.path == "", i.cast("string")).otherwise(F.concat(node.path, F.lit("/"), i.cast("string")))
-        found = F.transform(each, lambda x, i: F.coalesce(*_errors(_Node(x, path(i)), schema["items"]), F.lit(None).cast("string")))
+        found = F.transform(each, lambda x, i: _met(x, node.below(i.cast("string")), schema["items"], lambda n: _error(n, schema["items"])))
         out.append(F.get(F.filter(found, lambda e: e.isNotNull()), 0))
-    return out
+    return F.coalesce(*out, F.lit(None).cast("string"))
 
 
 def first_error(document: Column, schema: dict) -> Column:
@@ -155,13 +189,16 @@ def first_error(document: Column, schema: dict) -> Column:
     A null document has no errors: it isn't there. Words that the compiler
     doesn't know are no rules.
     """
-    return F.coalesce(*_errors(_Node(document, F.lit("")), schema), F.lit(None).cast("string"))
+    return _let(document, lambda d: _met(d, "", schema, lambda n: _error(n, schema)))
 
 
 def event_error(document: Column) -> Column:
     """The first error of an event by its own contract; ``foreign`` for event types without one."""
-    kind = F.try_variant_get(document, "$['event_type']", "string")
-    out = F.lit("foreign")
-    for name, schema in EVENTS.items():
-        out = F.when(kind == name, first_error(document, schema)).otherwise(out)
-    return F.when(F.coalesce(kind, F.lit("")) == "", F.lit("<root>: required event_type")).otherwise(out)
+
+    def error(b: Column) -> Column:
+        out = F.lit("foreign")
+        for name, schema in EVENTS.items():
+            out = F.when(b["kind"] == name, first_error(b["v"], schema)).otherwise(out)
+        return F.when(F.coalesce(b["kind"], F.lit("")) == "", F.lit("<root>: required event_type")).otherwise(out)
+
+    return _let(F.struct(document.alias("v"), F.try_variant_get(document, "$['event_type']", "string").alias("kind")), error)

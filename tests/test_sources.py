@@ -86,3 +86,20 @@ def test_outbox(spark):
     df = spark.createDataFrame(rows, "event_id string, status string, t int").select("event_id", "status", *(F.timestamp_seconds("t").alias(c) for c in ("available_at", "created_at", "locked_at")))
     assert [r.event_id for r in report.claimable(df, F.timestamp_seconds(F.lit(5))).collect()] == ["c", "a"]
     assert {r.event_id: r.status for r in report.requeue_stuck(df, F.timestamp_seconds(F.lit(200))).collect()}["d"] == "pending"
+
+
+def test_contract_odd_values(spark):
+    """Escaped, infinite and empty values, names with signs, and a document that is read once."""
+    from tallyline.sources.contracts import first_error
+
+    schema = {"type": "object", "required": ["s"], "additionalProperties": False, "properties": {"s": {"type": "string", "minLength": 3, "pattern": "^a.c"}, "n": {"type": ["number", "null"], "maximum": 1}, "i": {"type": "integer"}, "u": {"type": "string", "format": "uuid"}, "l": {"type": "array", "items": {"enum": ["x", True, None, 2]}}}}
+    want = {
+        '{"s":"a\\tc"}': None, '{"s":"a\\""}': "s: minLength", '{"s":"abd"}': "s: pattern", '{"s":"abc","n":1e400}': "n: maximum", '{"s":"abc","n":"Infinity"}': "n: type", '{"s":"abc","n":-1e400}': None,
+        '{"s":"abc","n":null}': None, '{"s":"abc","i":2.0}': None, '{"s":"abc","i":2.5}': "i: type", '{"s":"abc","u":"x"}': "u: format", '{"s":"abc","l":["x",true,null,2,"true"]}': "l/4: enum", '{"s":"abc","l":[]}': None,
+        '{"s":"abc","l":{}}': "l: type", "{}": "<root>: required s", "[]": "<root>: type", "3": "<root>: type", '{"s":null}': "s: type", '{"s":"abc","z":1}': "<root>: additionalProperties",
+    }
+    df = spark.createDataFrame(list(want.items()), "v string, want string")
+    got = df.select("v", "want", first_error(F.parse_json("v"), schema).alias("got"))
+    assert [r for r in got.collect() if r.got != r.want] == []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") == 1
