@@ -50,3 +50,15 @@ def test_replay(spark, tmp_path, together):
             drain()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.job_id, r.action, r.attempts, int((r["at"] - at(0)).total_seconds())) for r in got) == WANT
+
+
+def test_events_of_a_job_are_ordered_without_frames():
+    import pandas as pd
+
+    from tallyline.streaming.timeouts import ordered_events
+
+    at = pd.to_datetime(["2026-01-01 00:00:01.0005", "2026-01-01 00:00:01.0004", "2026-01-01 00:00:01.0004", "2026-01-01 00:00:01.0004"])
+    frame = pd.DataFrame({"at": at, "status": ["DONE", None, "DONE", "RUNNING"]})
+    first = int(at[1].value // 1000)
+    got = ordered_events(iter([frame[:2], frame[2:]]))
+    assert got == [(first, "RUNNING"), (first, "DONE"), (first, None), (first + 100, "DONE")]
