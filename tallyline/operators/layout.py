@@ -36,10 +36,20 @@ def file_quality(pages: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame
     PDF pages need 30 characters to count as text, those of other kinds one. A
     page or a file that couldn't be read counts as none.
     """
+    sums = pages.groupBy(*keys).agg(*(v.alias(k) for k, v in _page_sums().items()))
+    return sums.withColumn("quality", quality(F.col("pages"), F.col("text_pages")))
+
+
+def page_quality(keys: tuple[str, ...] = ("id",)) -> Column:
+    """The grade of ``file_quality`` on each of a file's page rows: the pages are gone through once."""
+    sums, file = _page_sums(), Window.partitionBy(*keys)
+    return quality(sums["pages"].over(file), sums["text_pages"].over(file))
+
+
+def _page_sums() -> dict[str, Column]:
     read = F.col("error").isNull() & F.col("page").isNotNull()
     text = read & (F.col("chars") >= F.when(F.col("kind") == "pdf", PAGE_CHARS).otherwise(OTHER_CHARS))
-    sums = pages.groupBy(*keys).agg(F.count_if(read).alias("pages"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.count_if(text).alias("text_pages"), F.count_if(read & (F.col("method") == "ocr")).alias("ocr_pages"))
-    return sums.withColumn("quality", quality(F.col("pages"), F.col("text_pages")))
+    return {"pages": F.count_if(read), "chars": F.coalesce(F.sum("chars"), F.lit(0)), "text_pages": F.count_if(text), "ocr_pages": F.count_if(read & (F.col("method") == "ocr"))}
 
 
 def quality(n_pages: Column, text_pages: Column) -> Column:

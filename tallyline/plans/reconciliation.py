@@ -37,8 +37,7 @@ def facts_of_pages(pages: DataFrame, files: DataFrame, job: str = "job") -> Data
     Slices of 20 pages of the grade ABSTAIN or FAILED give no facts: they have no text.
     """
     known = pages.join(files.select("path", F.col("file_id").alias("id")), "path").withColumn("slice", F.coalesce(F.floor((F.col("page") - 1) / PAGES_A_JOB), F.lit(0)))
-    usable = layout.file_quality(known, ("id", "slice")).where(F.col("quality").isin("OK", "LOW_QUALITY")).select("id", "slice")
-    some = known.where("error is null").join(usable, ["id", "slice"], "left_semi")
+    some = known.withColumn("quality", layout.page_quality(("id", "slice"))).where("error is null and quality in ('OK', 'LOW_QUALITY')")
     return facts_of_lines(layout.lines_of_pages(some), files, job)
 
 

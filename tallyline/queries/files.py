@@ -60,8 +60,8 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
 
 
-def _documents(spark, sf_dir) -> DataFrame:
-    """Two documents a part, of the design and the working stage, of two pages: height, area and door width. Some files are cut off, some pages are scans."""
+def _parts(spark, sf_dir) -> DataFrame:
+    """What is in two documents a part, of the design and the working stage, of two pages: height, area and door width. Some files are cut off, some pages are scans."""
     t = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.explode(F.array(F.lit("PD"), F.lit("RD"))).alias("stage"))
     k, size, working = F.col("k"), F.col("size"), (F.col("stage") == "RD").cast("int")
     area = F.concat(F.lit("Площадь застройки — 1 "), F.lpad((size + working * (k % 4 == 0).cast("int")).cast("string"), 3, "0"), F.lit(",5 м²"))
@@ -72,9 +72,12 @@ def _documents(spark, sf_dir) -> DataFrame:
     first = F.when(scanned, none).otherwise(F.array(area, F.lit("Прочие показатели здания без значений"), height))
     second = F.when(scanned, none).otherwise(F.array(door, F.lit("Второй лист пояснительной записки к проекту")))
     head = F.when(scanned, "").otherwise(F.concat(F.lit("Технико-экономические показатели, том "), k.cast("string")))
-    rows = t.select(F.concat_ws("/", F.lit("docs"), k.cast("string"), F.concat(F.col("stage"), F.lit(".pdf"))).alias("path"), head.alias("head"), first.alias("first"), second.alias("second"), ((k % 97 == 0) & (working == 1)).alias("damage"))
-    # few bytes, much work: dealt to all cores
-    return rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_written, "path string, content binary")
+    return t.select(F.concat_ws("/", F.lit("docs"), k.cast("string"), F.concat(F.col("stage"), F.lit(".pdf"))).alias("path"), head.alias("head"), first.alias("first"), second.alias("second"), ((k % 97 == 0) & (working == 1)).alias("damage"))
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """The documents as files. Few bytes, much work: dealt to all cores."""
+    return _parts(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).mapInArrow(_written, "path string, content binary")
 
 
 def _files(pages: DataFrame) -> DataFrame:
@@ -100,8 +103,7 @@ union all select path, 0, null, null, null, null, 'REJECTED_CORRUPTED' from p wh
 
 def files_to_protocol(spark, sf_dir):
     """The numbered findings of each part from its two files: extraction, best facts, comparison by rule."""
-    made = _documents(spark, sf_dir)
-    found = reconciliation.protocol_of_files(documents.pages_of_files(made), _files(made))
+    found = reconciliation.protocol_of_files(documents.pages_of_files(_documents(spark, sf_dir)), _files(_parts(spark, sf_dir)))
     return found.select("process_id", F.col("place").cast("long").alias("place"), "param_code", "finding_status", "delta", "expected_value", "actual_value")
 
 
