@@ -123,7 +123,7 @@ def audit_of(log: DataFrame) -> DataFrame:
 def current_findings(findings: DataFrame, log: DataFrame) -> DataFrame:
     """``findings`` as the accepted decisions leave them."""
     last = log.where("accepted and action = 'decide'").groupBy("finding_id").agg(F.max_by(F.struct("decision", "reason_code", "comment", "actor", "version_after"), "seq").alias("d"))
-    met = findings.join(last, "finding_id", "left")
+    met = findings.join(last.hint("merge"), "finding_id", "left")  # decisions grow with the findings: never broadcast
     was = lambda c, kind, other: F.coalesce(F.col(c).cast(kind), F.lit(other)) if c in findings.columns else F.lit(other)
     plain = [c for c in findings.columns if c not in ("inspector_status", "version", "reason_code", "comment", "decided_by")]
     return met.select(*plain, F.coalesce("d.decision", was("inspector_status", "string", "PENDING")).alias("inspector_status"), F.col("d.reason_code").alias("reason_code"), F.col("d.comment").alias("comment"), F.col("d.actor").alias("decided_by"), F.coalesce("d.version_after", was("version", "long", 1)).alias("version"))
@@ -142,6 +142,6 @@ def sync_state(log: DataFrame, deliveries: DataFrame, outcome: Column) -> DataFr
     is the state that an attempt leaves, from their columns.
     """
     asked = log.where("accepted and action = 'finalize'").groupBy("process_id").agg(F.max("seq").alias("asked"))
-    tried = deliveries.select("process_id", "seq", outcome.alias("outcome")).join(asked, "process_id").where("seq > asked")
+    tried = deliveries.select("process_id", "seq", outcome.alias("outcome")).join(asked.hint("merge"), "process_id").where("seq > asked")
     last = tried.groupBy("process_id").agg(F.max_by("outcome", "seq").alias("outcome"))
-    return asked.join(last, "process_id", "left").select("process_id", F.coalesce("outcome", F.lit("PENDING_SYNC")).alias("sync_status"))
+    return asked.join(last.hint("merge"), "process_id", "left").select("process_id", F.coalesce("outcome", F.lit("PENDING_SYNC")).alias("sync_status"))

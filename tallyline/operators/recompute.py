@@ -59,25 +59,26 @@ class FindingVersions:
         finding's id every decision on it. A group with other facts gets a new
         finding; the old one is archived with a link to it. A group without
         facts has its finding archived without a link. Only new and changed
-        groups meet the rules.
+        groups meet the rules. What grows with the facts is shuffled: by the
+        size of packed columns Spark would take it for small and broadcast it.
         """
         old = self.current(run)
         now = group_hashes(facts)
         was = old.select(*(F.col(k).alias(f"_{k}") for k in GROUP), F.col("input_hash").alias("old_hash"), F.col("finding_id").alias("old_id"))
-        met = now.join(was, [F.col(k) == F.col(f"_{k}") for k in GROUP], "full_outer")
+        met = now.join(was.hint("merge"), [F.col(k) == F.col(f"_{k}") for k in GROUP], "full_outer")
         met = met.where(~F.col("input_hash").eqNullSafe(F.col("old_hash"))).select(*(F.coalesce(k, f"_{k}").alias(k) for k in GROUP), "input_hash", "old_id")
         new_id = S.uuid5(F.concat_ws("|", F.lit("finding"), *GROUP, "input_hash", F.lit(str(run))))
         changed = met.withColumn("new_id", F.when(F.col("input_hash").isNotNull(), new_id))
         keys = [F.coalesce(facts[k].cast("string"), F.lit("")) == changed[k] for k in GROUP]
-        some = facts.join(changed.where("new_id is not null").select(*GROUP), keys, "left_semi")
+        some = facts.join(changed.where("new_id is not null").select(*GROUP).hint("merge"), keys, "left_semi")
         checks = evaluate_outputs(some, rules)
-        found = checks.groups.join(checks.checks.drop("process_id"), "group_id")
+        found = checks.groups.join(checks.checks.drop("process_id").hint("merge"), "group_id")
         none = lambda kind: F.lit(None).cast(kind)
-        made = found.join(changed.select(*GROUP, "new_id"), list(GROUP)).select(
+        made = found.join(changed.select(*GROUP, "new_id").hint("merge"), list(GROUP)).select(
             F.col("new_id").alias("finding_id"), *GROUP, "input_hash", "finding_status", "expected_value", "actual_value", "delta",
             F.lit(run).alias("made_in"), none("int").alias("retired_in"), none("string").alias("superseded_by"),
         )
-        gone = old.join(changed.where("old_id is not null").select(F.col("old_id").alias("finding_id"), "new_id"), "finding_id")
+        gone = old.join(changed.where("old_id is not null").select(F.col("old_id").alias("finding_id"), "new_id").hint("merge"), "finding_id")
         gone = gone.select(*[c for c in made.columns if c not in ("retired_in", "superseded_by")], F.lit(run).alias("retired_in"), F.col("new_id").alias("superseded_by"))
         made.unionByName(gone).write.mode("overwrite").parquet(self._path(run))
         return self.spark.read.parquet(self._path(run))

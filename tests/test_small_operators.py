@@ -79,3 +79,20 @@ def test_strict_decoding(spark):
     rows = [sound, sound.replace('"facts_key":"k"', '"facts_key":5'), sound.replace('"data"', '"more":1,"data"'), sound.replace("doc.extract.completed", "doc.other"), "{", "[1]", sound.replace('"event_type":"doc.extract.completed",', "")]
     got = [r.invalid for r in E.decode(spark.createDataFrame([(r,) for r in rows], "value string"), strict=True).collect()]
     assert got == [None, "data/facts_key: type", "<root>: additionalProperties", "foreign", "<root>: required event_type"]
+
+
+def test_recompute_broadcasts_rules_alone(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from tallyline.operators import recompute
+    from tallyline.plans.catalogue import rules
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **k))[1])
+    rows = [("p", "M-001", str(i), stage, 1, str(i), "f", f"{i}{stage}", [0.0], "q", 1) for i in range(20) for stage in ("PD", "RD")]
+    facts = spark.createDataFrame(rows, "process_id string, param_code string, element_key string, stage string, page int, value string, file_id string, fact_id string, bbox array<double>, quote string, seq int")
+    store = recompute.FindingVersions(spark, str(tmp_path / "v"))
+    store.recompute(facts, rules(spark), 1)
+    store.recompute(facts.where("element_key <> '3'"), rules(spark), 2)
+    assert store.current().count() == 19
+    assert [plan.count("BroadcastHashJoin") for plan in plans] == [1, 1]
