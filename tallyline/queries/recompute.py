@@ -32,8 +32,9 @@ def recompute_versions(spark, sf_dir):
     """Every version of every finding with its decision: kept where the facts are the same, open again where they aren't."""
     store, log = _runs(spark, sf_dir)
     met = D.current_findings(store.versions(), log)
-    heir = met.select(F.col("finding_id").alias("superseded_by"), F.col("element_key").alias("heir"), F.col("made_in").alias("heir_run"))
-    return met.join(heir, "superseded_by", "left").select(
+    heir = met.select(F.col("finding_id").alias("_heir"), F.col("element_key").alias("heir"), F.col("made_in").alias("heir_run"))
+    sought = F.coalesce("superseded_by", F.concat(F.lit("-"), "finding_id"))  # those without an heir don't meet in one task
+    return met.withColumn("_heir", sought).join(heir.hint("merge"), "_heir", "left").select(
         F.col("element_key").cast("long").alias("p_partkey"), "made_in", "retired_in", F.col("heir").cast("long").alias("heir"), "heir_run", "finding_status", "delta", "inspector_status", "version",
     )
 
