@@ -96,25 +96,50 @@ class FanIn(StatefulProcessor):
     twice, is one job, and an ended one stays ended.
     """
 
+    ENDED = ("DONE", "FAILED")
+    #: Jobs of a process that are put together before its state is asked: each look at the state is a call to Spark.
+    HELD = 100_000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.jobs = handle.getMapState("jobs", "job_id string", "status string")
         self.counts = handle.getValueState("counts", "known int, ended int")  # so that no batch reads all jobs
         self.reported = handle.getValueState("reported", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        known, ended = self.counts.get() if self.counts.exists() else (0, 0)
+        counts = self.counts.get()
+        fresh, (known, ended) = counts is None, counts or (0, 0)
+        done = not fresh and self.reported.exists()  # whatever comes later changes nothing
+        news: dict[str, str] = {}
         for frame in rows:
-            for job, status in zip(frame["job_id"].astype(str), frame["status"]):
-                was = self.jobs.getValue((job,))[0] if self.jobs.containsKey((job,)) else None
-                if was not in ("DONE", "FAILED") and was != status:
-                    self.jobs.updateValue((job,), (status,))
-                    known += was is None
-                    ended += status in ("DONE", "FAILED")
+            for job, status in zip(map(str, frame["job_id"].tolist()), () if done else frame["status"].tolist()):
+                if isinstance(status, str) and news.get(job) not in self.ENDED:
+                    news[job] = status
+                if len(news) == self.HELD:
+                    known, ended = self._keep(news, fresh, known, ended)
+                    fresh, news = False, {}
+        if done:
+            return
+        if fresh and news and all(status in self.ENDED for status in news.values()):
+            known = ended = len(news)  # complete at once: its jobs are never asked for again
+        else:
+            known, ended = self._keep(news, fresh, known, ended)
         self.counts.update((known, ended))
-        if known and known == ended and not self.reported.exists():
+        if known and known == ended:
             self.reported.update((known,))
+            if not fresh:
+                self.jobs.clear()
             yield pd.DataFrame({"process_id": [key[0]], "n_jobs": [known]})
 
+    def _keep(self, news: dict[str, str], fresh: bool, known: int, ended: int) -> tuple[int, int]:
+        """The counts with ``news`` in the state; a ``fresh`` process has none to look at."""
+        for job, status in news.items():
+            was = None if fresh else (self.jobs.getValue((job,)) or (None,))[0]
+            if was not in self.ENDED and was != status:
+                self.jobs.updateValue((job,), (status,))
+                known += was is None
+                ended += status in self.ENDED
+        return known, ended
+
     def close(self) -> None:
         pass
 

@@ -96,3 +96,49 @@ def test_recompute_broadcasts_rules_alone(spark, tmp_path, monkeypatch):
     store.recompute(facts.where("element_key <> '3'"), rules(spark), 2)
     assert store.current().count() == 19
     assert [plan.count("BroadcastHashJoin") for plan in plans] == [1, 1]
+
+
+def test_fan_in_over_batches_keeps_no_jobs_of_whole_processes():
+    import pandas as pd
+
+    from tallyline.streaming.events import FanIn
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        def get(self):
+            return self.v
+
+        def exists(self):
+            return self.v is not None
+
+        def update(self, v):
+            self.v = v
+
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, k):
+            self.calls += 1
+            return self.get(k)
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+    def fan(batches, held=FanIn.HELD):
+        f = FanIn()
+        f.HELD, f.jobs, f.counts, f.reported = held, Map(), Value(), Value()
+        frames = [pd.DataFrame(b, columns=["job_id", "status"]) for b in batches]
+        return [[int(r["n_jobs"].iloc[0]) for r in f.handleInputRows((1,), iter([frame]), None)] for frame in frames], f.jobs
+
+    said, jobs = fan([[("a", "REQUESTED"), ("b", "REQUESTED"), ("a", "DONE"), ("b", "FAILED"), ("a", "REQUESTED")], [("a", "DONE"), ("c", "REQUESTED")]])
+    assert said == [[2], []] and jobs.calls == 0
+    for held in (1, 2, 100):
+        said, jobs = fan([[("a", "REQUESTED"), ("b", "REQUESTED"), ("a", "DONE")], [("a", "REQUESTED"), ("b", "REQUESTED")], [("b", "DONE"), ("b", "DONE")], [("b", "FAILED")]], held)
+        assert said == [[], [], [2], []] and not jobs
