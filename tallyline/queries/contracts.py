@@ -30,7 +30,7 @@ def _events(spark, sf_dir):
 
 def event_contracts(spark, sf_dir):
     """The first error of each event, null for sound ones."""
-    return _events(spark, sf_dir).select("event_id", contracts.event_error(F.try_parse_json("value")).alias("error"))
+    return contracts.with_event_error(_events(spark, sf_dir), F.try_parse_json("value"), "error").select("event_id", "error")
 
 
 _CONTRACTS = """with e as (select event_id as k, event_id % 11 as e, event_id % 5 as t from events)
@@ -55,7 +55,7 @@ def fact_contracts(spark, sf_dir):
     }
     body = F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), v) for name, v in fields.items()))
     made = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), F.col("l_linenumber"), F.concat(F.lit("{"), body, F.lit("}")).alias("v"))
-    return made.select("l_orderkey", "l_linenumber", contracts.first_error(F.parse_json("v"), contracts.FACT).alias("error"))
+    return contracts.with_first_error(made, F.parse_json("v"), contracts.FACT, "error").select("l_orderkey", "l_linenumber", "error")
 
 
 _FACTS = """select l_orderkey, l_linenumber, case when k % 7 = 1 then 'bbox: minItems' when k % 7 = 2 then 'bbox/3: maximum' when k % 7 = 3 then 'bbox/2: type' when k % 23 = 0 then 'confidence: maximum' when k % 29 = 0 then 'has_change_notice: type'

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tallyline.sources.contracts import event_error
+from tallyline.sources.contracts import with_event_error
 
 ENVELOPE = "event_id string, event_type string, schema_version int, occurred_at timestamp, correlation_id string, object_id string, process_id string, data string"
 # Fields that an event's data must have.
@@ -31,7 +31,7 @@ def decode(raw: DataFrame, column: str = "value", strict: bool = False) -> DataF
     met = raw.withColumn("_v", F.try_parse_json(column)).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
     field = lambda name, kind="string": F.try_variant_get("_v", f"$.{name}", kind)
     if strict:
-        met = met.withColumn("_e", event_error(F.col("_v")))
+        met = with_event_error(met, F.col("_v"), "_e")
         return met.select(*(field(n, k).alias(n) for n, k in (part.strip().split(" ") for part in ENVELOPE.split(","))), F.col("_e").alias("invalid"))
     out = met.select(*(field(n, k).alias(n) for n, k in (part.strip().split(" ") for part in ENVELOPE.split(","))))
     missing = [F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in ("event_id", "event_type", "schema_version", "occurred_at", "process_id", "object_id", "data")]

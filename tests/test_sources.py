@@ -103,3 +103,23 @@ def test_contract_odd_values(spark):
     assert [r for r in got.collect() if r.got != r.want] == []
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") + plan.count("parse_json") == 1
+
+
+def test_contract_laid_out(spark):
+    """Places as columns give what the one expression gives, on odd values too, and fields need no lambdas: these are interpreted."""
+    from tallyline.sources import contracts as C
+
+    leaf = {"s": {"type": "string", "minLength": 3, "pattern": "^a.c"}, "n": {"type": ["number", "null"], "maximum": 1}, "t": {"type": ["string", "null"]}, "b": {"type": "boolean"}, "e": {"enum": ["x", True, None, 2]}, "r": {"type": "number"}, "y": {"type": "array"}}
+    inner = {"type": ["object", "null"], "required": ["s", "q"], "properties": leaf, "additionalProperties": False}
+    schema = {"type": "object", "additionalProperties": False, "properties": {**leaf, "o": inner, "l": {"type": "array", "minItems": 1, "maxItems": 3, "items": leaf["n"]}, "m": {"type": "array", "items": inner}}}
+    values = ["1", "2", "2.5", "1e400", "-1e400", "1e3", '"a"', '"abc"', '"a\\tc"', '"a\\"\\"\\""', '"Infinity"', '"NaN"', '"x"', "true", "null", "{}", "[]", "[1,2]", '["a"]', "[null,0,1e400]", "[1,1,1,1]", '{"s":"abc","q":1}', '{"s":"abc"}', '[{"s":"abc"},3]', '{"s":"abc","z":0}']
+    rows = [f'{{"{name}":{v}}}' for name in (*schema["properties"], "z") for v in values] + [f'{{"o":{{"s":"abc","{name}":{v}}}}}' for name in leaf if name != "s" for v in values] + ["{}", "[]", "3", "null", '"a"', None]
+    df = spark.createDataFrame([(r,) for r in rows], "v string")
+    got = C.with_first_error(df, F.parse_json("v"), schema, "got")
+    assert got.columns == ["v", "got"]
+    both = got.withColumn("want", C.first_error(F.parse_json("v"), schema)).collect()
+    assert [r for r in both if r.got != r.want] == [] and len({r.want for r in both}) > 20
+
+    laid = C.with_first_error(df, F.parse_json("v"), {"type": "object", "properties": {f"f{i}": leaf["s"] for i in range(20)}}, "got")
+    plan = laid._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("parseJson") + plan.count("parse_json") == 1
