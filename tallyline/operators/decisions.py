@@ -79,7 +79,9 @@ def decision_log(findings: DataFrame, commands: DataFrame, processes: DataFrame
     inspector_status and version; ``processes`` (process_id, status) begin as
     READY where they aren't given. ``commands`` are (process_id, seq, action,
     finding_id, decision, reason_code, comment, expected_version, actor) in the
-    order of ``seq`` within a process, which must be unique there.
+    order of ``seq`` within a process, which should be unique there: those that
+    share one go by what they say, nulls first, so that the log is the same
+    however the rows lie.
 
     A decision is refused if it lacks what it needs, if its finding isn't the
     process's, if the process isn't READY, VERIFYING or COMPLETED, or if
@@ -103,7 +105,8 @@ def decision_log(findings: DataFrame, commands: DataFrame, processes: DataFrame
         rows = rows.union(processes.select(F.col("process_id").cast(kinds["process_id"]), F.lit(0), none("seq"), F.lit("open"), none("finding_id"), none("decision", "string"), none("reason_code", "string"), none("comment", "string"), F.lit(None).cast("long"), none("actor"), none("invalid", "string"), none("finding_status", "string"), F.col("status")))
     sql = lambda c: kinds[c].simpleString()
     schema = f"process_id {sql('process_id')}, seq {sql('seq')}, action string, finding_id {sql('finding_id')}, actor {sql('actor')}, decision string, reason_code string, comment string, accepted boolean, refused string, status_before string, version_before long, status_after string, version_after long, process_before string, process_after string, sync_status string"
-    return ordered_fold(rows.where("process_id is not null"), "process_id", [F.col("later"), F.col("seq")], lambda _: _Process(), _carry_out, schema)
+    said = ["finding_id", "action", "decision", "reason_code", "comment", "expected_version", "actor"]
+    return ordered_fold(rows.where("process_id is not null"), "process_id", [F.col(c) for c in ("later", "seq", *said)], lambda _: _Process(), _carry_out, schema)
 
 
 def audit_of(log: DataFrame) -> DataFrame:

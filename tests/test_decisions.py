@@ -76,3 +76,11 @@ def test_many_commands_on_one_process(spark):
     log = D.decision_log(findings, commands)
     # odd findings accept all their commands, even ones only the first
     assert {r.accepted: r["count"] for r in log.groupBy("accepted").count().collect()} == {True: n // 2 + 50, False: n // 2 - 50}
+
+
+def test_commands_that_share_a_seq(spark):
+    """The log doesn't depend on how rows lie, as it did where commands of one process share a seq."""
+    findings = spark.createDataFrame([("a", "p", "CANDIDATE"), ("b", "p", "NEGATIVE_VERIFIED")], "finding_id string, process_id string, finding_status string")
+    commands = [command(1, "decide", "a", "CLARIFICATION_REQUIRED"), command(1, "decide", "b", "CLARIFICATION_REQUIRED"), command(2, "finalize"), command(3, "unfinalize", comment=" "), command(3, "unfinalize", comment="x")]
+    logs = [{tuple(r) for r in D.decision_log(findings, spark.createDataFrame(c, COMMAND).coalesce(1)).collect()} for c in (commands, commands[::-1])]
+    assert logs[0] == logs[1] and len(logs[0]) == len(commands)
