@@ -63,14 +63,35 @@ def stream_fan_in(spark, sf_dir):
 
 
 def with_timers(spark, run):
-    """``run()`` with the state store that timers need."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """``run()`` with the state store that timers need, on twice as many partitions as cores at most: each has a store and a worker of its own to start in every batch."""
+    partitions = "spark.sql.shuffle.partitions"
+    conf = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        partitions: str(min(int(spark.conf.get(partitions)), 2 * spark.sparkContext.defaultParallelism)),
+    }
+    was = {key: spark.conf.get(key) for key in conf}
     try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
         return run()
     finally:
-        spark.conf.set(key, was)
+        for key, value in was.items():
+            spark.conf.set(key, value)
+
+
+def _in_time_order(rows: DataFrame, folder: str, slices: int = 4) -> tuple[int, int]:
+    """Write ``rows`` so that a stream meets their times in order but for a slice of them: (files a slice at most, seconds of a slice).
+
+    A stream takes files by the time they were written, so slices are written one after another.
+    """
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    second = F.unix_seconds("at")
+    first, last = rows.agg(F.min(second), F.max(second)).first()
+    width = 1 if first is None else (last - first) // slices + 1
+    number = F.when(F.col("at").isNotNull(), F.floor((second - F.lit(first)) / width))  # a row without a time is in the first
+    for i in range(slices):
+        rows.where(F.coalesce(number, F.lit(0)) == i).repartition(n).write.mode("append").parquet(folder)
+    return n, width
 
 
 def stream_job_timeouts(spark, sf_dir):
@@ -80,11 +101,11 @@ def stream_job_timeouts(spark, sf_dir):
     late = F.create_map(*map(F.lit, ("view", 600, "click", 5400, "error", 9000)))[F.col("event_type")]
     ends = events.where(late.isNotNull()).select("event_id", F.when(F.col("event_type") == "error", "FAILED").otherwise("DONE").alias("status"), F.timestamp_seconds(F.unix_timestamp("ts") + late).alias("at"))
     rows = events.select("event_id", F.lit("RUNNING").alias("status"), F.timestamp_seconds(F.unix_timestamp("ts")).alias("at")).union(ends)
-    rows.withColumnRenamed("event_id", "job_id").write.parquet(f"{work}/in")
+    files, seconds = _in_time_order(rows.withColumnRenamed("event_id", "job_id"), f"{work}/in")
     # a day later something else happens, so that all limits run out
     spark.range(1, 4).select(F.lit(-1).cast("long").alias("job_id"), F.lit("DONE").alias("status"), (F.lit("2100-01-01").cast("timestamp") + F.make_dt_interval(F.col("id").cast("int"))).alias("at")).repartitionByRange(3, "at").write.mode("append").parquet(f"{work}/in")
-    stream = spark.readStream.schema("job_id long, status string, at timestamp").option("maxFilesPerTrigger", 4).parquet(f"{work}/in")
-    with_timers(spark, lambda: E.to_files(job_limits(stream, 3600), f"{work}/out", f"{work}/state").awaitTermination())
+    stream = spark.readStream.schema("job_id long, status string, at timestamp").option("maxFilesPerTrigger", files).parquet(f"{work}/in")
+    with_timers(spark, lambda: E.to_files(job_limits(stream, 3600, f"{seconds} seconds"), f"{work}/out", f"{work}/state").awaitTermination())
     return spark.read.parquet(f"{work}/out")
 
 
