@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,8 +76,8 @@ NO_UNIT = ("", "—", "ед.", "шт.")
 FLAGS, WORD_START = "(?iU)", r"(?<![\w])"
 
 
-def _required(parsed) -> set[str]:
-    """Lower-case texts of which every match has one at least, as long as can be; none if nothing is sure."""
+def _sure(parsed) -> list[set[str]]:
+    """Sets of lower-case texts; of each set every match has one at least."""
     sure: list[set[str]] = []
     run = ""
     for op, arg in [*parsed, (None, None)]:
@@ -88,45 +89,78 @@ def _required(parsed) -> set[str]:
             sure.append({run})
             run = ""
         if name == "SUBPATTERN":
-            sure.append(_required(arg[-1]))
+            sure += _sure(arg[-1])
         elif name == "BRANCH":
             parts = [_required(p) for p in arg[1]]
             sure.append(set().union(*parts) if all(parts) else set())
         elif name == "MAX_REPEAT" and arg[0] > 0:
-            sure.append(_required(arg[2]))
-    return max((x for x in sure if x), key=lambda x: (min(map(len, x)), -len(x)), default=set())
+            sure += _sure(arg[2])
+    return [x for x in sure if x]
+
+
+def _required(parsed) -> set[str]:
+    """The set of which texts are longest; none if nothing is sure."""
+    return max(_sure(parsed), key=lambda x: (min(map(len, x)), -len(x)), default=set())
 
 
 def stems(expression: str) -> list[str]:
     """What the lower-case text must hold, one of them at least, for an expression to match; empty if that can't be told."""
+    return sorted(_required(_parsed(expression)))
+
+
+def _begins(parsed) -> set[str]:
+    """Lower-case texts without white space of which every match begins with one; none if that can't be told."""
+    items, run = list(parsed), ""
+    for op, arg in items:
+        if str(op) != "LITERAL" or chr(arg).isspace():
+            break
+        run += chr(arg).lower()
+    if run or not items:
+        return {run} - {""}
+    name, arg = str(items[0][0]), items[0][1]
+    if name == "SUBPATTERN":
+        return _begins(arg[-1])
+    parts = [_begins(p) for p in arg[1]] if name == "BRANCH" else [_begins(arg[2]), *([] if arg[0] else [_begins(items[1:])])] if name == "MAX_REPEAT" else []
+    return set().union(*parts) if all(parts) else set()
+
+
+def _parsed(expression: str):
     from re import _parser
 
-    return sorted(_required(_parser.parse(expression.replace("(?<num>", "(?P<num>").replace("(?<val>", "(?P<val>").replace("(?<unit>", "(?P<unit>"))))
+    return _parser.parse(expression.replace("(?<num>", "(?P<num>").replace("(?<val>", "(?P<val>").replace("(?<unit>", "(?P<unit>"))
 
 
 class Pattern:
-    """One pattern: its expression, the numbers of its value and unit groups, and the stems without which it can't match."""
+    """One pattern: its expression, the numbers of its value and unit groups, the stems without which it can't match and the heads that its matches begin with."""
 
     def __init__(self, code: str, kind: str, expression: str, indexed: bool = True):
         self.code, self.kind, self.expression = code, kind, FLAGS + WORD_START + expression
         self.stems = stems(expression) if indexed else []
+        self.heads = sorted(_begins(_parsed(expression))) if indexed else []
+        # what else is sure, if it is Cyrillic: a Latin letter may stand for others that lower case keeps apart
+        more = [sorted(x) for x in _sure(_parsed(expression)) if all(re.fullmatch("[а-яё]{3,}", t) for t in x)] if indexed else []
+        self.needs = [x for x in (self.stems, *(x for x in more if x != self.stems)) if x and x != self.heads]
+
+    def may_match(self, head: Column, lower: Column) -> Column:
+        """Whether the line has a head, and it and the next what else a match needs, in lower case: a look at plain characters, which spares most expressions.
 
-    def may_match(self, lower: Column) -> Column:
-        """Whether a lower-case text has a stem: a look at plain characters, which spares most expressions."""
-        return reduce(lambda a, b: a | b, (lower.contains(s) for s in self.stems)) if self.stems else F.lit(True)
+        A head has no white space, so it doesn't go over a line's end: of the next line's match nothing is looked for here.
+        """
+        tried = [reduce(lambda a, b: a | b, map(of.contains, texts)) for of, texts in ((head, self.heads), *((lower, x) for x in self.needs)) if texts]
+        return reduce(lambda a, b: a & b, tried, F.lit(True))
 
     def match(self, text: Column) -> Column:
         """(at, value, unit) of the first match, ``at`` counting from 0; for texts that have one."""
         unit = F.regexp_extract(text, self.expression, 2) if self.kind == "number" else F.lit("")
         return F.struct((F.regexp_instr(text, F.lit(self.expression)) - 1).alias("at"), F.trim(F.regexp_extract(text, self.expression, 1)).alias("value"), F.trim(unit).alias("unit"))
 
-    def find(self, text: Column, joined: Column, lower: Column) -> Column:
-        """The pattern with its match on ``text``, or else on ``joined`` if it begins on ``text``; null without one. ``lower`` is all of both in lower case."""
+    def find(self, text: Column, joined: Column, head: Column, lower: Column) -> Column:
+        """The pattern with its match on ``text``, or else on ``joined`` if it begins on ``text``; null without one. ``head`` is ``text`` in lower case, ``lower`` all of both."""
         here, there = text.rlike(self.expression), joined.rlike(self.expression)
         if self.code in EXCLUDE:
             here, there = (x & ~text.rlike(FLAGS + EXCLUDE[self.code]) for x in (here, there))
         row = lambda of, spans: F.struct(F.lit(self.code).alias("param_code"), F.lit(self.kind).alias("kind"), F.lit(spans).alias("spans"), self.match(of).alias("m"))
-        return F.when(self.may_match(lower), F.when(here, row(text, False)).when(there, row(joined, True)))
+        return F.when(self.may_match(head, lower), F.when(here, row(text, False)).when(there, row(joined, True)))
 
 
 def patterns(only: set[str] | None = None, indexed: bool = True) -> list[Pattern]:
@@ -140,8 +174,8 @@ def candidates(lines: DataFrame, units: dict[str, str] | None = None, only: set[
     """Candidate facts of ``lines`` (id, page, line, text, bbox, next_text, next_bbox).
 
     Every pattern is a literal expression of its own, so one pass over the lines
-    serves all of them; it is tried only where the line has one of the stems
-    that its matches need. A match on the line itself is preferred; else the line
+    serves all of them; it is tried only where the line has a text with which
+    its matches begin, and it and the next the stems that they need. A match on the line itself is preferred; else the line
     and the next, if the match begins on the line, at 0.05 less confidence. A
     number without a unit beside it loses 0.1 where its parameter has one.
     """
@@ -150,8 +184,8 @@ def candidates(lines: DataFrame, units: dict[str, str] | None = None, only: set[
     units = param_units() if units is None else units
     names = F.create_map(*(F.lit(v) for pair in units.items() for v in pair)) if units else F.create_map().cast("map<string,string>")
     rows = lines.withColumn("joined", F.when(F.col("next_text").isNotNull(), F.concat_ws(" ", "text", "next_text")))
-    rows = rows.withColumn("lower", F.lower(F.coalesce("joined", "text")))
-    hits = F.filter(F.array(*(p.find(F.col("text"), F.col("joined"), F.col("lower")) for p in patterns(only, indexed))), lambda x: x.isNotNull())
+    rows = rows.withColumns({"head": F.lower("text"), "lower": F.lower(F.coalesce("joined", "text"))})
+    hits = F.filter(F.array(*(p.find(*map(F.col, ("text", "joined", "head", "lower"))) for p in patterns(only, indexed))), lambda x: x.isNotNull())
     each = rows.withColumn("h", F.explode(hits)).select(*rows.columns, "h.param_code", "h.kind", "h.spans", "h.m.*")
     each = each.where(~F.col("spans") | (F.col("at") < F.length("text"))).withColumn("want", F.coalesce(F.try_element_at(names, "param_code"), F.lit("")))
     number = S.to_matrix_unit(S.parse_number_any_space(F.col("value")), F.when(F.col("unit") == "", F.col("want")).otherwise(F.col("unit")), F.col("want"))

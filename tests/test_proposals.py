@@ -94,3 +94,19 @@ def test_budget_of_failures(spark):
     asked = spark.range(30).select("id", F.lit(0).alias("chunk"), F.lit("q").alias("question")).coalesce(1)
     tries = [r.tries for r in P.ask(asked, client, P.Limits(at_once=1, tries=3, pause=0.0, budget=10)).collect()]
     assert max(tries) == 3 and tries.count(1) >= 25 and len(tries) == 30
+
+
+def test_patterns_are_tried_where_a_match_can_begin(spark):
+    """Not on the line before a label, nor where a text is missing that the match needs; matches over two lines stay."""
+    from pyspark.sql import functions as F
+
+    made = {p.code: p for p in X.patterns()}
+    assert all(p.heads for p in made.values()) and not any(p.heads or p.needs for p in X.patterns(indexed=False))
+    assert made["M-004"].heads == ["общий", "строительн"] and made["M-041"].needs == [["выход", "двер"]]
+    rows = spark.createDataFrame([(0, "прочие показатели", "прочие показатели высота здания: 5 м"), (1, "высота здания: 5 м", "высота здания: 5 м"), (2, "высота", "высота здания: 5 м")], "i int, head string, lower string")
+    tried = rows.select("i", *(p.may_match(F.col("head"), F.col("lower")).alias(c) for c, p in made.items())).orderBy("i").collect()
+    assert [[c for c in made if r[c]] for r in tried] == [[], ["M-008"], ["M-008"]]
+    texts = ["Прочие показатели", "Высота", "здания: 5 м", "Ширина дверей", "не менее 900 мм", "Площадь", "озеленения 12 м²"]
+    lines = spark.createDataFrame([("a", 1, i, t, None, n, None) for i, (t, n) in enumerate(zip(texts, [*texts[1:], None]))], "id string, page int, line int, text string, bbox array<double>, next_text string, next_bbox array<double>")
+    shown = lambda indexed: sorted((r.line, r.param_code, r.value_raw, r.quote) for r in X.candidates(lines, indexed=indexed).collect())
+    assert shown(True) == shown(False) and [x[:2] for x in shown(True)] == [(1, "M-008"), (3, "M-041"), (5, "M-027")]
